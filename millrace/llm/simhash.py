@@ -125,67 +125,107 @@ def _ball(width: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(width), r)], np.uint64)
 
 
+def _meeting(ha: np.ndarray, hb: np.ndarray, near: int) -> np.ndarray:
+    """The one place, of those that both visit, where a pair is reported: the least value on the way from ha to hb that is at most `near` bits from either."""
+    x = ha ^ hb
+    best = np.full(len(x), np.uint64(0xFFFFFFFFFFFFFFFF))
+    bits = [np.uint64(1 << i) for i in range(int(x.max()).bit_length() if len(x) else 0)]
+    for r in range(near + 1):
+        for c in combinations(bits, r):
+            m = np.bitwise_or.reduce(np.array([0, *c], np.uint64))
+            v = ha ^ m
+            best = np.where(((m & ~x) == 0) & (np.bitwise_count(v ^ hb) <= near), np.minimum(best, v), best)
+    return best
+
+
 def near_pairs(fps: DataFrame, *, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
-    """All pairs (a_hi, a_lo, b_hi, b_lo) of distinct rows (hi, lo) of `fps` that differ in 1 to `radius` bits, a < b.
+    """All pairs (a_hi, a_lo, b_hi, b_lo) of distinct rows (hi, lo) of `fps` that differ in 1 to `radius` bits, a < b, each once.
 
-    One shuffle by segment value. More fingerprints call for wider, that is fewer, segments: the expected number of
-    chance meetings of one fingerprint is about n * C(width, radius // segments) * segments / 2^width.
+    Tasks are divided by the leading bits of a segment's value. A fingerprint is sent to its own place and to those
+    that differ in up to half the segment's radius of the leading bits; the rest of the ball is enumerated there, so
+    one shuffle moves a row per segment and leading bit. A pair that meets more than once is reported at the least
+    segment and place only. More fingerprints call for wider, that is fewer, segments: one meets about
+    n * C(width, radius // segments) * segments / 2^width others by chance.
     """
+    if not 2 <= segments <= 8:
+        raise ValueError("2 to 8 segments")
     seg, within = _segments(segments), radius // segments
-    a_side, b_side = (within + 1) // 2, within // 2
+    step = (within + 1) // 2
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lead = min(max(1, (4 * parts // segments).bit_length()), min(w for _, w in seg) - 1)
+    flips = _ball(lead, step)
 
-    def probes(batches):
+    def visits(batches):
         for b in batches:
             hi, lo = (b.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
+            n = len(flips)
             for k, (start, width) in enumerate(seg):
-                v = _cut(hi, lo, start, width)
-                masks = _ball(width, a_side)
-                small = len(_ball(width, b_side))
-                for at in range(0, len(v), 20_000):
-                    x = (v[at : at + 20_000, None] ^ masks[None, :]).ravel()
-                    n = len(masks)
-                    # side: bit 0 if within the smaller ball; both sides in one row where the balls are the same
-                    near = np.tile(np.arange(n) < small, len(v[at : at + 20_000]))
-                    key = (x << np.uint64(3)) | np.uint64(k)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(near), pa.array(np.repeat(hi[at : at + 20_000], n).view(np.int64)), pa.array(np.repeat(lo[at : at + 20_000], n).view(np.int64))], ["key", "near", "hi", "lo"])
+                for at in range(0, len(hi), 50_000):
+                    h, low = hi[at : at + 50_000], lo[at : at + 50_000]
+                    place = (_cut(h, low, start, lead)[None, :] ^ flips[:, None]).ravel() << np.uint64(3) | np.uint64(k)
+                    yield pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), pa.array(np.tile(h, n).view(np.int64)), pa.array(np.tile(low, n).view(np.int64))], ["place", "hi", "lo"])
+
+    def pairs_at(place: int, hi: np.ndarray, lo: np.ndarray):
+        k, here = place & 7, np.uint64(place >> 3)
+        start, width = seg[k]
+        rest = width - lead
+        used = np.bitwise_count(_cut(hi, lo, start, lead) ^ here).astype(np.int64)
+        low = _cut(hi, lo, start + lead, rest)
+        who, keys = [], []
+        for u in range(step + 1):
+            i = np.flatnonzero(used == u)
+            ball = _ball(rest, step - u)
+            who.append(np.repeat(i, len(ball)))
+            keys.append((low[i, None] ^ ball[None, :]).ravel())
+        who, keys = np.concatenate(who), np.concatenate(keys)
+        order = np.argsort(keys, kind="stable")
+        who, keys = who[order], keys[order]
+        same = np.diff(keys, prepend=~keys[:1]) == 0
+        ends = np.append(np.flatnonzero(~same)[1:], len(keys))
+        end = ends[np.cumsum(~same) - 1]
+        live, ahead = np.arange(len(keys)), 1
+        found = []
+        while True:
+            live = live[live + ahead < end[live]]
+            if not len(live):
+                break
+            for at in range(0, len(live), 1 << 20):
+                i, j = who[live[at : at + (1 << 20)]], who[live[at : at + (1 << 20)] + ahead]
+                d = np.bitwise_count(hi[i] ^ hi[j]) + np.bitwise_count(lo[i] ^ lo[j])
+                ok = (d <= radius) & (d > 0)
+                if ok.any():
+                    found.append(np.unique(np.sort(np.stack([i[ok], j[ok]], 1), axis=1), axis=0))
+            ahead += 1
+        if not found:
+            return None
+        i, j = np.unique(np.concatenate(found), axis=0).T
+        ok = np.bitwise_count(_cut(hi[i], lo[i], start, width) ^ _cut(hi[j], lo[j], start, width)) <= 2 * step
+        for earlier, w in seg[:k]:
+            ok &= np.bitwise_count(_cut(hi[i], lo[i], earlier, w) ^ _cut(hi[j], lo[j], earlier, w)) > 2 * step
+        i, j = i[ok], j[ok]
+        ok = _meeting(_cut(hi[i], lo[i], start, lead), _cut(hi[j], lo[j], start, lead), step) == here
+        i, j = i[ok], j[ok]
+        h, low = hi.view(np.int64), lo.view(np.int64)
+        swap = (h[i] > h[j]) | ((h[i] == h[j]) & (low[i] > low[j]))
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h[i], low[i], h[j], low[j])], ["a_hi", "a_lo", "b_hi", "b_lo"])
 
     def meet(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        t = pa.Table.from_batches(got).combine_chunks()
-        del got
-        key, near = t.column("key").to_numpy(), t.column("near").to_numpy(zero_copy_only=False)
-        hi, lo = t.column("hi").to_numpy().view(np.uint64), t.column("lo").to_numpy().view(np.uint64)
-        del t
-        order = np.argsort(key, kind="stable")
-        same = np.diff(key[order], prepend=key[order][:1] - 1) == 0
-        alone = ~(same | np.append(same[1:], False))
-        order = order[~alone]  # values that one fingerprint only has meet nothing
-        key, near, hi, lo = key[order], near[order], hi[order], lo[order]
-        first = np.flatnonzero(np.diff(key, prepend=key[:1] - 1) != 0)
-        end = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key))))
-        live, step = np.arange(len(key)), 1
-        while True:
-            live = live[live + step < end[live]]
-            if not len(live):
-                return
-            for at in range(0, len(live), 1 << 20):
-                i = live[at : at + (1 << 20)]
-                j = i + step
-                d = np.bitwise_count(hi[i] ^ hi[j]) + np.bitwise_count(lo[i] ^ lo[j])
-                ok = (d <= radius) & (d > 0) & (near[i] | near[j])
-                i, j = i[ok], j[ok]
-                if len(i):
-                    swap = (hi[i].view(np.int64) > hi[j].view(np.int64)) | ((hi[i] == hi[j]) & (lo[i].view(np.int64) > lo[j].view(np.int64)))
-                    i, j = np.where(swap, j, i), np.where(swap, i, j)
-                    x = np.unique(np.stack([hi[i], lo[i], hi[j], lo[j]], 1).view(np.int64), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, k])) for k in range(4)], ["a_hi", "a_lo", "b_hi", "b_lo"])
-            step += 1
-
-    p = fps.select("hi", "lo").mapInArrow(probes, "key long, near boolean, hi long, lo long")
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return p.repartition(n, "key").mapInArrow(meet, "a_hi long, a_lo long, b_hi long, b_lo long").distinct()
+        t = pa.Table.from_batches(got)
+        place, hi, lo = (t.column(c).to_numpy() for c in ("place", "hi", "lo"))
+        order = np.argsort(place, kind="stable")
+        place, hi, lo = place[order], hi[order].view(np.uint64), lo[order].view(np.uint64)
+        cuts = np.append(np.flatnonzero(np.diff(place, prepend=place[:1] - 1)), len(place))
+        for a, b in zip(cuts, cuts[1:]):
+            out = pairs_at(int(place[a]), hi[a:b], lo[a:b])
+            if out is not None and out.num_rows:
+                yield out
+
+    p = fps.select("hi", "lo").mapInArrow(visits, "place long, hi long, lo long")
+    return p.repartition(parts, "place").mapInArrow(meet, "a_hi long, a_lo long, b_hi long, b_lo long")
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
