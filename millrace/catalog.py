@@ -270,11 +270,11 @@ def semantic_dedup(spark, sf_dir):
 # vectors
 
 
-@query("SELECT q.vec_id, x.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings x QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[]), 9) DESC, x.vec_id) <= 5")
+@query("SELECT q.vec_id, x.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[]), 4) AS score FROM embeddings q, embeddings x QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], x.embedding::DOUBLE[]), 9) DESC, x.vec_id) <= 5")
 def knn_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     got = vector.top_k(e, e.withColumnRenamed("vec_id", "id"), query_id="vec_id", query_vec="embedding", index_id="id", index_vec="embedding", k=5)
-    return got.select("vec_id", "id", F.round("score", 6).alias("score"))
+    return got.select("vec_id", "id", F.round("score", 4).alias("score"))
 
 
 @query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS c FROM embeddings")
@@ -326,7 +326,7 @@ def validators_all(spark, sf_dir):
 
 @query(f"SELECT conv_id, unnest(list_transform(range(1, (ceil((n - l) / 2))::BIGINT + 1), lambda i: least(l + 2 * i, n))) AS n_messages FROM (SELECT conv_id, len(messages) AS n, len(list_filter(messages, lambda m: m.role = 'system')) AS l FROM {MESSAGES_SQL}) WHERE n > l UNION ALL SELECT conv_id, len(messages) FROM {MESSAGES_SQL} WHERE len(list_filter(messages, lambda m: m.role <> 'system')) = 0")
 def prefix_rounds(spark, sf_dir):
-    return conversations(spark, sf_dir).select("conv_id", F.explode(F.transform(judges.prefixes(F.col("messages")), F.size)).cast("long").alias("n_messages"))
+    return conversations(spark, sf_dir).select("conv_id", F.explode(F.transform(judges.prefixes(F.col("messages")), lambda m: F.size(m).cast("long"))).alias("n_messages"))
 
 
 _LINES_SQL = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)"
