@@ -75,7 +75,7 @@ def profiles(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: st
 
     counts = rows.select("_lang", "_text").mapInArrow(run, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
-    got = counts.withColumn("r", rank).where(F.col("r") <= top_k).toPandas().sort_values(["lang", "r"])
+    got = counts.withColumn("r", rank).where(F.col("r") <= top_k).toArrow().to_pandas().sort_values(["lang", "r"])
     return {name: g["code"].to_numpy() for name, g in got.groupby("lang")}
 
 

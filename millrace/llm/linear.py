@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,19 +19,11 @@ def sample_by_hash(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.where(F.col(key).isNotNull()).withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
 
 
-def featurize(df: DataFrame, text: str, keep: list[str], make: Callable) -> pd.DataFrame:
-    """`df`'s columns `keep` with arrays idx and val, brought to the driver: only for bounded samples."""
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keep).dtypes) + ", idx array<int>, val array<float>"
-
-    def run(batches):
-        f = make()
-        for pdf in batches:
-            pairs = [f(t) for t in pdf[text]]
-            out = pdf[keep].copy()
-            out["idx"], out["val"] = [p[0] for p in pairs], [p[1] for p in pairs]
-            yield out
-
-    return df.select(*dict.fromkeys([text, *keep])).mapInPandas(run, schema).toPandas()
+def packed(ids: np.ndarray, val: np.ndarray, size: int) -> tuple[bytes, bytes]:
+    """Features as bytes of 32-bit numbers: each bucket below `size` once, in order, its values added up."""
+    ok = ids < size
+    u, at = np.unique(ids[ok], return_inverse=True)
+    return u.astype(np.int32).tobytes(), np.bincount(at, val[ok], len(u)).astype(np.float32).tobytes()
 
 
 @dataclass
@@ -46,30 +36,32 @@ class Columns:
 
 
 class Sparse:
-    """Rows of hashed features, each bucket once per row."""
+    """Rows of hashed features, as packed() gives them."""
 
-    def __init__(self, idx: list, val: list, bits: int):
+    def __init__(self, idx: list[bytes], val: list[bytes], bits: int):
         self.n, self.size = len(idx), 1 << bits
-        rows = np.repeat(np.arange(self.n), np.fromiter(map(len, idx), np.int64, self.n))
-        j = np.concatenate([np.zeros(0, np.int64), *idx]).astype(np.int64)
-        v = np.concatenate([np.zeros(0), *val])
-        ok = j < self.size
-        key = rows[ok] * self.size + j[ok]
-        order = np.argsort(key, kind="stable")
-        key, v = key[order], v[ok][order]
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        self.v = np.add.reduceat(v, first) if len(first) else v
-        self.rows, self.j = key[first] // self.size, key[first] % self.size
+        self.rows = np.repeat(np.arange(self.n, dtype=np.int32), np.fromiter((len(b) // 4 for b in idx), np.int64, self.n))
+        self.j = np.frombuffer(b"".join(idx), np.int32)
+        self.v = np.frombuffer(b"".join(val), np.float32)
+
+    def _sums(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By bucket: sums of the rows' weights, and of these times the values and their squares; a million features at a time."""
+        out = np.zeros((3, self.size))
+        for at in range(0, len(self.j), 1 << 20):
+            part = slice(at, at + (1 << 20))
+            j, v, u = self.j[part], self.v[part].astype(float), w[self.rows[part]]
+            for k in range(3):
+                out[k] += np.bincount(j, u, self.size)
+                u = u * v
+        return tuple(out)
 
     def select(self, y: np.ndarray, top: int, use: np.ndarray | None = None) -> Columns:
         """The `top` buckets by the absolute two-sample statistic of their values between y and 1 - y (soft labels), over the rows in `use`; the matrix holds all rows."""
         on = np.ones(self.n) if use is None else use.astype(float)
-        w1, w0 = (y * on)[self.rows], ((1 - y) * on)[self.rows]
         p, q = max((y * on).sum(), 1e-9), max(((1 - y) * on).sum(), 1e-9)
-        m1, m0 = np.bincount(self.j, self.v * w1, self.size) / p, np.bincount(self.j, self.v * w0, self.size) / q
-        v2 = self.v * self.v
-        s1, s0 = np.bincount(self.j, v2 * w1, self.size) / p - m1**2, np.bincount(self.j, v2 * w0, self.size) / q - m0**2
-        seen = np.bincount(self.j, w1 + w0, self.size)
+        (c1, m1, s1), (c0, m0, s0) = self._sums(y * on), self._sums((1 - y) * on)
+        m1, m0, seen = m1 / p, m0 / q, c1 + c0
+        s1, s0 = s1 / p - m1**2, s0 / q - m0**2
         floor = np.median(self.v) ** 2 / max(self.n, 1) if len(self.v) else 1.0
         t = np.abs(m1 - m0) / np.sqrt(np.maximum(s1, 0) / p + np.maximum(s0, 0) / q + floor / p + floor / q + 1e-12)
         t[seen < 2] = 0

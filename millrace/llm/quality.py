@@ -126,7 +126,7 @@ def fit(docs: DataFrame, *, text: str = "text", key: str = "doc_id", max_train_r
     one in which all posteriors are alike, gives a scorer that returns the prior.
     """
     k = len(LABELLERS)
-    counts = docs.select(vote_code()(F.col(text)).alias("code")).groupBy("code").count().orderBy("code").toPandas()
+    counts = docs.select(vote_code()(F.col(text)).alias("code")).groupBy("code").count().orderBy("code").toArrow()
     model = expectation_maximisation(counts["code"].to_numpy(), counts["count"].to_numpy(), k)
     ids = linear.sample_by_hash(docs.select(F.col(key).alias("_key")).distinct() if max_train_rows else docs.select(F.col(key).alias("_key")), "_key", max_train_rows)
     rows = docs.select(F.col(key).alias("_k2"), F.col(text).alias("_text")).join(F.broadcast(ids), F.col("_k2") == F.col("_key"))
@@ -134,16 +134,17 @@ def fit(docs: DataFrame, *, text: str = "text", key: str = "doc_id", max_train_r
     def run(batches):
         f, g = Shapes(bits), TextStats()
         for pdf in batches:
-            pairs = [f(t) for t in pdf["_text"]]
+            pairs = [linear.packed(*f(t), 1 << bits) for t in pdf["_text"]]
             a = np.array([g(t) for t in pdf["_text"]], np.int64).reshape(-1, len(STATS))
             yield pd.DataFrame({"key": pdf["_k2"].astype(str), "code": encode(votes(dict(zip(STATS, a.T)))), "idx": [p[0] for p in pairs], "val": [p[1] for p in pairs]})
 
-    got = rows.select("_k2", "_text").mapInPandas(run, "key string, code long, idx array<int>, val array<float>").toPandas().sort_values(["key", "code"], kind="stable")
+    got = rows.select("_k2", "_text").mapInPandas(run, "key string, code long, idx binary, val binary").toArrow()
+    got = got.sort_by([("key", "ascending"), ("code", "ascending")])
     y = model.posterior(got["code"].to_numpy())
-    data = linear.Sparse([np.asarray(i, np.int64) for i in got["idx"]], [np.asarray(v, np.float64) for v in got["val"]], bits)
+    data = linear.Sparse(got["idx"].to_pylist(), got["val"].to_pylist(), bits)
     cols = data.select(y, top)
     w, b = linear.fit(cols.x, y, l2)
-    if not len(got):
+    if not got.num_rows:
         b = float(np.log(model.prior / (1 - model.prior)))
     return QualityModel(model, linear.expand(cols, w, bits), b, bits)
 

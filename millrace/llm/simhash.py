@@ -62,7 +62,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, 1 << DF_BITS)), pa.array(np.append(total[at], n))], ["bucket", "n"])
 
-    got = docs.select(F.col(text)).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select(F.col(text)).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((1 << DF_BITS) + 1, np.int64)
     out[got["bucket"].to_numpy()] = got["n"].to_numpy()
     return out

@@ -112,7 +112,7 @@ def frequencies(raw: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["id", "n"])
 
     out = np.zeros(size, np.int64)
-    got = raw.select("raw").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    got = raw.select("raw").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     out[got["id"].to_numpy()] = got["n"].to_numpy()
     return out
 

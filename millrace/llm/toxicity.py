@@ -88,12 +88,12 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CHAIN, *, text: str = "te
     lab = linear.sample_by_hash(lab, key, max_train_rows)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(lab), F.col("_key") == lab[key]).drop(key)
     seeds = {c: frozenset(SEEDS[c]) for c in categories if c not in have}
-    schema = ", ".join(["_key string", *[f"`_y_{c}` double" for c in categories], "idx array<int>", "val array<float>"])
+    schema = ", ".join(["_key string", *[f"`_y_{c}` double" for c in categories], "idx binary", "val binary"])
 
     def run(batches):
         f = Words(bits)
         for pdf in batches:
-            pairs = [f(t) for t in pdf["_text"]]
+            pairs = [linear.packed(*f(t), 1 << bits) for t in pdf["_text"]]
             out = pd.DataFrame({"_key": pdf["_key"].astype(str)})
             words = [set(WORD.findall((t or "").lower())) for t in pdf["_text"]] if seeds else []
             for c in categories:
@@ -101,13 +101,17 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CHAIN, *, text: str = "te
             out["idx"], out["val"] = [p[0] for p in pairs], [p[1] for p in pairs]
             yield out
 
-    got = rows.mapInPandas(run, schema).toPandas()
-    if not len(got):
+    got = rows.mapInPandas(run, schema).toArrow()
+    if not got.num_rows:
         k = len(categories)
         return ChainModel(tuple(categories), np.zeros(((1 << bits) + 1, k), np.float32), np.full(k, -30.0), np.zeros((k, k)), bits)
-    got = got.assign(_h=pd.util.hash_array(got["_key"].to_numpy(object))).sort_values(["_h", "_key"], kind="stable").reset_index(drop=True)
-    y = got[[f"_y_{c}" for c in categories]].to_numpy(float)
-    return _fit_chain([np.asarray(i, np.int32) for i in got["idx"]], [np.asarray(v, np.float32) for v in got["val"]], y, categories, bits, top, folds, l2)
+    y = got.select([f"_y_{c}" for c in categories]).to_pandas().to_numpy(float)
+    keys = got["_key"].to_pylist()
+    h = pd.util.hash_array(np.array(keys, object))
+    order = sorted(range(len(keys)), key=lambda i: (h[i], keys[i], tuple(y[i])))
+    idx, val = (got[c].to_pylist() for c in ("idx", "val"))
+    del got
+    return _fit_chain([idx[i] for i in order], [val[i] for i in order], y[order], categories, bits, top, folds, l2)
 
 
 def scorer(model: ChainModel):
