@@ -1,0 +1,112 @@
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from millrace.llm import simhash
+from millrace.llm.components import connected_components
+from tests.llm.fixtures import LONG, awkward, documents, prose
+
+
+def groups(pairs, nodes):
+    up = {n: n for n in nodes}
+
+    def root(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {n: root(n) for n in nodes}
+
+
+def brute_fingerprints(texts):
+    """Fingerprints as whole numbers, from the definition."""
+    words = [Counter(re.findall(r"\w+", (t or "").lower())) for t in texts]
+    df = Counter(hashlib.md5(w.encode()).digest()[:2] for c in words for w in c)
+    out = []
+    for c in words:
+        votes = [0] * 128
+        for w, n in c.items():
+            d = hashlib.md5(w.encode()).digest()
+            level = 1
+            while level <= simhash.LEVELS and df[d[:2]] << level <= len(texts):
+                level += 1
+            x = int.from_bytes(d, "big")
+            for k in range(128):
+                votes[k] += level * n.bit_length() * (1 if x >> (127 - k) & 1 else -1)
+        out.append(sum(1 << (127 - k) for k in range(128) if votes[k] > 0) if c else None)
+    return out
+
+
+def test_pairs_are_those_of_brute_force(spark):
+    r = random.Random(5)
+    base = [r.getrandbits(128) for _ in range(60)]
+    near = [b ^ sum(1 << i for i in r.sample(range(128), r.randrange(0, 24))) for b in base for _ in range(6)]
+    all_ = sorted(set(base + near))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    fps = spark.createDataFrame([(signed(x >> 64), signed(x & (2**64 - 1))) for x in all_], "hi long, lo long").repartition(5)
+    for radius, segments in ((17, 6), (9, 4), (3, 3), (0, 4)):
+        got = [tuple(x % (1 << 64) for x in row) for row in simhash.near_pairs(fps, radius=radius, segments=segments).collect()]
+        got = [frozenset((a << 64 | b, c << 64 | d)) for a, b, c, d in got]
+        want = {frozenset((a, b)) for i, a in enumerate(all_) for b in all_[:i] if (a ^ b).bit_count() <= radius}
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_the_query_gives_the_groups_of_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    fp = dict(zip((i for i, _ in rows), brute_fingerprints([t for _, t in rows])))
+    ids = [i for i, _ in rows]
+    want = groups([(a, b) for k, a in enumerate(ids) for b in ids[:k] if fp[a] is not None and fp[b] is not None and (fp[a] ^ fp[b]).bit_count() <= simhash.RADIUS], ids)
+    got = {r.doc_id: (r.group_id, r.keep) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {i: (want[i], want[i] == i) for i in ids}
+
+
+def test_recall_of_planted_copies_and_clean_documents_stay(spark):
+    rows, r = [], random.Random(3)
+    for k in range(80):
+        t = prose(k, 200).split()
+        rows.append((10 * k, " ".join(t), "en", "a"))
+        rows.append((10 * k + 1, " ".join(t), "en", "a"))
+        for i in r.sample(range(200), 6):
+            t[i] = f"new{k}x{i}"
+        rows.append((10 * k + 2, " ".join(t), "en", "b"))
+    kept = {r.doc_id for r in simhash.dedup(documents(spark, rows)).collect()}
+    assert kept >= {10 * k for k in range(80)} and not kept & {10 * k + 1 for k in range(80)}
+    assert len(kept & {10 * k + 2 for k in range(80)}) <= 8
+
+
+def test_awkward_rows(spark):
+    docs = awkward(spark)
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == docs.count()
+    assert Counter(r.keep for r in got if r.doc_id == 1) == {True: 2, False: 1}  # repeated rows are one group
+    assert all(r.keep and r.group_id == r.doc_id for r in got if r.doc_id in (2, 3, 4, 7))
+    kept = simhash.dedup(docs)
+    assert kept.columns == docs.columns and kept.where("doc_id = 5").first().text == LONG
+    assert simhash.dedup(documents(spark)).count() == 0
+    with pytest.raises(ValueError):
+        simhash.near_pairs(docs, segments=1)
+
+
+def test_components_of_chains_and_stars(spark):
+    r = random.Random(1)
+    edges = [(f"{i:04}", f"{i + 1:04}") for i in range(0, 300) if i % 50] + [("0900", f"{901 + i:04}") for i in range(40)]
+    edges += [("0001", "0001"), (None, "0003"), ("0003", None), *edges[:20]]
+    r.shuffle(edges)
+    got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "src string, dst string")).collect()}
+    real = [(a, b) for a, b in edges if a and b and a != b]
+    assert got == groups(real, {n for e in real for n in e})
+    assert connected_components(spark.createDataFrame([], "src string, dst string")).count() == 0
+
+
+def test_rarity_counts_documents():
+    df = np.zeros((1 << 16) + 1, np.int64)
+    df[0], df[1], df[2], df[-1] = 8, 4, 1, 8
+    assert list(simhash.rarity(df)[:3]) == [1, 2, 4]
