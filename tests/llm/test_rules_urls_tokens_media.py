@@ -21,7 +21,7 @@ def test_ledger_policies_and_ablations(spark):
     assert "repeated_words" in failed[4] and "no_stopword" in failed[4]
     assert failed[5] == failed[6] == {"empty", "too_few_words"} and failed[7] == {"too_few_words"}
     assert got[4].keep_lenient_v1 and not got[4].keep_lenient_v2
-    assert (got[1].n_words, got[1].n_lines, got[1].n_stop) == (11, 1, 7)
+    assert (got[1].n_words, got[1].n_lines, got[1].n_stop) == (11, 1, 8)
     for name, m in rules.policy_masks().items():
         for r in rules.ablations(led).where(f"policy = '{name}'").collect():
             bit = next(1 << b for b, n, _ in rules.RULES if n == r.rule)
