@@ -1,0 +1,281 @@
+"""Sources, sinks, configuration and operators on small hand-made tables."""
+
+import json
+import random
+
+import pytest
+import yaml
+
+from millrace.functions import strings, templates
+from millrace.operators import dedup, judges, relational, text, vector
+from millrace.operators.base import REGISTRY, Operator, RowOperator, register, resolve
+from millrace.plans.runner import SequentialExecutor
+from millrace.plans.spec import Spec
+from millrace.sources import readers, writers
+from millrace.streaming import ingest
+from pyspark.sql import functions as F
+
+# sources and sinks
+
+
+def test_ids_do_not_depend_on_the_order_of_columns(spark):
+    a = readers.with_hash_id(spark.createDataFrame([(1, 2)], "a int, b int")).first().hash_id
+    b = readers.with_hash_id(spark.createDataFrame([(2, 1)], "b int, a int")).first().hash_id
+    c = readers.with_hash_id(spark.createDataFrame([(1, None)], "a int, b int")).first().hash_id
+    assert a == b != c
+
+
+def test_given_ids_stay_and_missing_ones_are_made(spark):
+    got = readers.with_hash_id(spark.createDataFrame([("x", "mine"), ("y", None)], "k string, hash_id string")).orderBy("k").collect()
+    assert got[0].hash_id == "mine" and len(got[1].hash_id) == 32
+
+
+def test_resume_skips_what_the_ledger_holds(spark, tmp_path):
+    df = spark.createDataFrame([("old", 1), ("new", 2), ("old2", 3), ("new2", 4), ("new", 5)], "hash_id string, v int")
+    path = str(tmp_path / "ledger")
+    assert readers.read_ledger(spark, path) is None
+    writers.commit_ids(spark.createDataFrame([("old",), ("old2",), ("old",)], "hash_id string"), path)
+    assert sorted(r.hash_id for r in readers.resume(df, readers.read_ledger(spark, path)).collect()) == ["new", "new2"]
+
+
+def test_files_have_at_most_the_chunk_and_are_appended(spark, tmp_path):
+    w = writers.FileWriter(output_path=tmp_path, chunk_size=2)
+    rows = spark.createDataFrame([(str(i),) for i in range(5)], "text string").coalesce(1)
+    w.write(rows)
+    sizes = sorted(len(p.read_text().splitlines()) for p in (tmp_path / "data").glob("*.json"))
+    assert sizes == [1, 2, 2]
+    w.write(rows)
+    assert spark.read.json(w.data_path).count() == 10
+    with pytest.raises(ValueError):
+        writers.FileWriter(output_path=None)
+    with pytest.raises(ValueError):
+        writers.FileWriter(output_path="x", output_format="docx")
+
+
+@pytest.mark.parametrize("kind", ["jsonl", "csv", "parquet"])
+def test_formats_round_trip(spark, tmp_path, kind):
+    writers.FileWriter(output_path=tmp_path, output_format=kind).write(spark.createDataFrame([("a", "1"), ("b", "2")], "t string, n string"))
+    r = readers.FileReader(path=f"{tmp_path}/data", format=kind)
+    assert sorted((x.t, str(x.n)) for x in r.load(spark).collect()) == [("a", "1"), ("b", "2")]
+
+
+def test_debug_and_shuffle(spark, tmp_path):
+    spark.range(40).write.parquet(f"{tmp_path}/t")
+    assert readers.FileReader(path=f"{tmp_path}/t", debug=True).load(spark).count() == 10
+    order = lambda seed: [r.id for r in readers.FileReader(path=f"{tmp_path}/t", shuffle=True, seed=seed).load(spark).collect()]
+    assert order(1) == order(1) != order(2) and sorted(order(2)) == list(range(40))
+
+
+def test_documents_become_text(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.html").write_text("<head>no</head><p>One &amp; <b>two</b></p><script>no</script><p>three")
+    (tmp_path / "sub/b.md").write_text("# four")
+    (tmp_path / "c.bin").write_bytes(b"\x00")
+    got = sorted(r.text for r in readers.DocumentReader(data_path=str(tmp_path)).load(spark).collect())
+    assert got == ["# four", "One & two\nthree"]
+
+    def fails(name, content):
+        if name.endswith("md"):
+            raise OSError("service is away")
+        return "ok"
+
+    assert readers.DocumentReader(data_path=str(tmp_path), converter=fails).load(spark).count() == 2
+
+
+# configuration
+
+
+def test_a_pipeline_from_yaml(spark, tmp_path):
+    (tmp_path / "in.jsonl").write_text("".join(json.dumps({"text": t, "_x": 1}) + "\n" for t in ("one two", "one two", "three four five", "six")))
+    part = {"import_path": "SetExactMatchDeduplicator"}
+    (tmp_path / "part.yml").write_text(yaml.safe_dump(part))
+    cfg = {
+        "import_path": "BaseExecutor",
+        "init_kwargs": {
+            "reader": {"import_path": "FileReader", "init_kwargs": {"path": f"{tmp_path}/in.jsonl", "format": "jsonl", "resume": True}},
+            "pipes": [{"cfg_path": f"{tmp_path}/part.yml"}, {"import_path": "TokenCounter"}, {"lambda_func": "token_count >= 2"}, {"import_path": "RemoveColumns"}],
+            "writer": {"import_path": "FileWriter", "init_kwargs": {"output_path": f"{tmp_path}/out"}},
+        },
+    }
+    (tmp_path / "cfg.yml").write_text(yaml.safe_dump(cfg))
+    for _ in range(2):  # the second run finds every id in the ledger
+        spec = Spec.load(f"{tmp_path}/cfg.yml")
+        run = spec.build()
+        assert isinstance(run, SequentialExecutor)
+        run.spec = spec
+        run.execute(spark)
+        got = spark.read.json(f"{tmp_path}/out/data").collect()
+        assert sorted((r.text, r.token_count) for r in got) == [("one two", 2), ("three four five", 3)]
+        assert set(got[0].asDict()) == {"text", "token_count", "hash_id"}
+    assert yaml.safe_load((tmp_path / "out/config.yml").read_text()) == cfg
+
+
+def test_bad_specs_are_refused(tmp_path, monkeypatch):
+    for bad in ({}, {"init_kwargs": {}}, {"import_path": "TokenCounter", "other": 1}, []):
+        with pytest.raises(ValueError):
+            Spec.parse(bad)
+    with pytest.raises(TypeError):
+        Spec.parse({"import_path": "TokenCounter", "async_cfg": {"speed": 1}})
+    with pytest.raises(ValueError):
+        resolve("NoSuchThing")
+    (tmp_path / "e.yml").write_text("import_path: TokenCounter\ninit_kwargs:\n  text_col: a${MILLRACE_TEST}b\n")
+    with pytest.raises(KeyError):
+        Spec.load(f"{tmp_path}/e.yml")
+    monkeypatch.setenv("MILLRACE_TEST", "-")
+    assert Spec.load(f"{tmp_path}/e.yml").build().text == "a-b"
+
+
+def test_registry_refuses_a_second_class():
+    with pytest.raises(ValueError):
+
+        @register("TokenCounter")
+        class Other(Operator):
+            pass
+
+    assert REGISTRY["TokenCounter"] is text.TokenCounter and resolve("millrace.operators.text.TokenCounter") is text.TokenCounter
+
+
+# rows, filters
+
+
+class Twice(RowOperator):
+    schema = "id long, n long"
+
+    def run_each(self, row):
+        return [] if row["id"] == 1 else None if row["id"] == 2 else ({"id": row["id"], "n": k} for k in range(2)) if row["id"] == 3 else {"id": row["id"]}
+
+
+def test_what_a_row_operator_may_return(spark):
+    assert sorted(tuple(r) for r in Twice().apply(spark.range(5)).collect() if r.n is not None) == [(3, 0), (3, 1)]
+    assert Twice().apply(spark.range(5)).where("n IS NULL").count() == 2
+
+
+def test_expressions(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, t string")
+    assert relational.Expression(expr="id > 1").apply(df).count() == 1
+    assert relational.Expression(expr="struct(upper(t) AS t, id + 1 AS n)").apply(df).orderBy("id").first().asDict() == {"id": 1, "t": "A", "n": 2}
+    assert relational.Expression(expr="array(struct(id AS k), struct(9 AS k))").apply(df).count() == 4
+    for bad in ("lambda x: x", "id + 1"):
+        with pytest.raises(ValueError):
+            relational.Expression(expr=bad).apply(df)
+
+
+# text
+
+
+def test_chunks_hold_the_text_and_fit():
+    t = "\n\n".join(". ".join(" ".join(f"w{i}{j}{k}" for k in range(7)) for j in range(4)) for i in range(6))
+    n = lambda s: len(s.split())
+    got = text.recursive_split(t, 10, 0, n)
+    assert all(n(c) <= 10 for c in got) and " ".join(" ".join(got).replace(".", " ").split()) == " ".join(t.replace(".", " ").split())
+    lapped = text.recursive_split("a. b. c. d. e", 2, 1, n)
+    assert len(lapped) > 3 and text.recursive_split("", 5, 0, n) == []
+
+
+def test_windows_of_chunks(spark):
+    df = spark.createDataFrame([(["a", "b", "c"],), ([],), (["x"],)], "c array<string>")
+    assert [r[0] for r in df.select(text.pair_chunks(F.col("c"))).collect()] == [["ab", "bc", "c"], [], ["x"]]
+    assert [r[0] for r in df.select(text.window_chunks(F.col("c"), 3)).collect()] == [["abc", "bc", "c"], [], ["x"]]
+
+
+def test_tails():
+    n = lambda s: len(s.split())
+    long = " ".join(["word"] * 12)
+    assert text.trim_tail(f"{long}\n\n\n\nshort\nends...", 3, n).rstrip() == long
+    assert text.trim_tail("", 3, n) == ""
+
+
+def test_json_replies(spark):
+    df = spark.createDataFrame([('{"a": 1}',), ('```json\n{"a": 2}\n```',), ("```\n[1]\n```",), ("{broken",), (None,)], "t string")
+    got = [r[0] for r in df.select(strings.json_reply(F.col("t")).isNotNull()).collect()]
+    assert got == [True, True, True, False, False]
+
+
+def test_templates(spark):
+    df = spark.createDataFrame([("Ann", None, ["x", "y"]), (None, "Hi", None)], "name string, greeting string, items array<string>")
+    t = templates.Template("{% if greeting %}{{ greeting }}{% else %}Hello{% endif %} {{ name }}{% for i in items %} {{ i }}{% endfor %}")
+    assert [r[0] for r in df.select(t.column(df)).collect()] == ["Hello Ann x y", "Hi "]
+
+
+# deduplication
+
+
+def scan(bands):
+    kept, seen = [], set()
+    for i in sorted(bands):
+        if not seen & bands[i]:
+            kept.append(i)
+            seen |= bands[i]
+    return kept
+
+
+def test_greedy_keeps_what_a_scan_keeps(spark):
+    cases = [{1: {"p"}, 2: {"p", "q"}, 3: {"q", "r"}, 4: {"r"}}]
+    for seed in range(2):
+        r = random.Random(seed)
+        cases.append({i: {str(r.randrange(250)) for _ in range(3)} for i in range(300)})
+    for bands in cases:
+        m = spark.createDataFrame([(i, b) for i, bs in bands.items() for b in bs], "id long, band string")
+        assert sorted(r.id for r in dedup.greedy_keep(m).collect()) == scan(bands)
+
+
+def test_texts_without_elements_collide(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b. c"), (3, "a sentence that is long enough"), (4, None)], "hash_id long, text string")
+    assert sorted(r.hash_id for r in dedup.MinHashDedup().apply(df).collect()) == [1, 3]
+
+
+def test_semantic_dedup_keeps_the_first(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.99, 0.01]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0])], "hash_id long, v array<double>")
+    for rows in (4096, 1):
+        got = dedup.SemanticDedup(threshold=0.9, embedding_col="v", block_rows=rows).apply(df)
+        assert sorted(r.hash_id for r in got.collect()) == [1, 3, 4, 5]
+
+
+# vectors
+
+
+def test_top_k_does_not_depend_on_blocks(spark):
+    r = random.Random(0)
+    v = spark.createDataFrame([(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(60)], "q long, v array<double>")
+    x = v.withColumnRenamed("q", "x")
+    kw = {"query_id": "q", "query_vec": "v", "index_id": "x", "index_vec": "v", "k": 4}
+    a, b = ({(r.q, r.rank): r.x for r in vector.top_k(v, x, block_rows=n, **kw).collect()} for n in (1000, 7))
+    assert a == b and all(a[i, 0] == i for i in range(60))
+
+
+def test_rerank_is_strict_and_sliced(spark):
+    df = spark.createDataFrame([([("a", 0.5), ("b", 0.9), ("c", 0.9), ("d", 0.7)],), ([],)], "s array<struct<text:string,score:double>>")
+    got = [r[0] for r in df.select(F.transform(vector.rerank_slice(F.col("s"), (1, 5), 0.5), lambda x: x["text"])).collect()]
+    assert got == [["c", "d"], []]
+
+
+# judges
+
+
+def messages(spark, *convs):
+    return spark.createDataFrame([(list(c),) for c in convs], "messages array<struct<role:string,content:string>>")
+
+
+def test_rules_on_messages(spark):
+    df = messages(spark, [("user", "你好"), ("assistant", "說話")], [("user", "hello"), ("assistant", "hello there")], [("user", "open")], [])
+    rule = lambda n, **kw: [r[0] for r in df.select(judges.RULES[n](**kw)).collect()]
+    assert rule("only_chinese")[:2] == [True, False]
+    assert rule("user_assistant_exclusive")[:2] == [True, False]
+    assert rule("banned_words", banned_words=["there"])[:3] == [True, False, True]
+
+
+def test_prefixes_of_odd_conversations(spark):
+    df = messages(spark, [("system", "s"), ("user", "a"), ("assistant", "b"), ("user", "c")], [("user", "a"), ("assistant", "b")])
+    assert [r[0] for r in df.select(F.transform(judges.prefixes(F.col("messages")), F.size)).collect()] == [[3, 4], [2]]
+
+
+# streams
+
+
+def test_a_stream_drops_repeats_across_batches(spark, tmp_path):
+    src, out, cp = (f"{tmp_path}/{x}" for x in ("src", "out", "cp"))
+    for rows in ([("a", 1), ("b", 2)], [("b", 3), ("c", 4), ("a", 5)]):
+        spark.createDataFrame(rows, "hash_id string, v int").coalesce(1).write.mode("append").parquet(src)
+        q = ingest.ingest(ingest.dedup_stream(ingest.read_stream(spark, src, "hash_id string, v int"), ["hash_id"]), out, cp)
+        q.awaitTermination()
+    assert sorted(r.hash_id for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
