@@ -30,6 +30,16 @@ def test_toxicity_on_held_out_documents(spark):
     assert sum(r.toxic_flag for r in got if not r.toxic) <= 0.02 * len(got)
 
 
+def test_every_category_tells_toxic_documents_of_every_language(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.join(labels.select("doc_id", "toxic"), "doc_id")
+    got = toxicity.score(docs, toxicity.fit(docs, labels.where("doc_id % 2 = 0"))).join(docs.select("doc_id", "lang", "toxic"), "doc_id").where("doc_id % 2 = 1").collect()
+    for p in ("p_insult", "p_contempt"):
+        for la in ("en", "de", "fr", "es"):
+            bad, rest = ([r[p] >= 0.2 for r in got if r.lang == la and r.toxic == t] for t in (1, 0))
+            assert sum(bad) >= 0.6 * len(bad) > 0 and sum(rest) <= 0.05 * len(rest), (p, la)
+
+
 def brute_chain(model, text):
     """Probabilities one category after the other, from the weights by bucket."""
     ids, val = Words(model.bits)(text)
