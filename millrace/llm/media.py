@@ -45,8 +45,9 @@ def parse(html: str | None, base: str | None) -> tuple[list[dict], list[dict]]:
     segs: list[dict] = []
     inline: dict = {}
     buf: list[str] = []
-    figures: list[list[int]] = []  # positions of media in the open figures
-    caption: list[str] | None = None
+    figures: list[dict] = []  # the open figures: their media and captions among the segments, and the caption being read
+    opened: list[dict] = []  # those whose caption is being read
+    gone: set[int] = set()  # captions that went to media
 
     def flush():
         t = _SPACE.sub(" ", unescape("".join(buf))).strip()
@@ -54,6 +55,29 @@ def parse(html: str | None, base: str | None) -> tuple[list[dict], list[dict]]:
         if t:
             segs.append({"pos": len(segs), "text": t, "kind": None, "url": None, "alt": None, "caption": None, "digest": None})
 
+    def sink() -> list[str]:
+        return opened[-1]["open"] if opened else buf
+
+    def end_caption(figure: dict):
+        """The caption stands as text until the figure ends, and stays so if that has no media."""
+        if figure["open"] is not None:
+            flush()
+            buf.extend(figure["open"])
+            opened.pop()
+            figure["open"], before = None, len(segs)
+            flush()
+            figure["captions"] += segs[before:]
+
+    def end_figure():
+        """Its caption goes to all its media but those that have one from a figure within."""
+        figure = figures.pop()
+        end_caption(figure)
+        if figure["media"] and figure["captions"]:
+            t = " ".join(c["text"] for c in figure["captions"])
+            for x in figure["media"]:
+                x["caption"] = x["caption"] or t
+            gone.update(c["pos"] for c in figure["captions"])
+
     def refer(kind: str, attrs: dict):
         src = attrs.get("src") or attrs.get("data-src") or attrs.get("data") or attrs.get("poster")
         if not src:
@@ -72,16 +96,16 @@ def parse(html: str | None, base: str | None) -> tuple[list[dict], list[dict]]:
             except ValueError:
                 url = src
             digest = hashlib.sha256(url.encode("utf-8", "surrogatepass")).hexdigest()
-        for f in figures:
-            f.append(len(segs))
         segs.append({"pos": len(segs), "text": None, "kind": kind, "url": url, "alt": unescape(attrs["alt"]).strip() if "alt" in attrs else None, "caption": None, "digest": digest})
+        for f in figures:
+            f["media"].append(segs[-1])
 
     s, at, skip, holder = html or "", 0, None, None
     for m in _TOKEN.finditer(s):
         if m.start() < at:
             continue
         if not skip and m.start() > at:
-            (caption if caption is not None else buf).append(s[at : m.start()])
+            sink().append(s[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
@@ -110,32 +134,28 @@ def parse(html: str | None, base: str | None) -> tuple[list[dict], list[dict]]:
         elif name == "figure":
             flush()
             if not m[1]:
-                figures.append([])
+                figures.append({"media": [], "captions": [], "open": None})
             elif figures:
-                figures.pop()
+                end_figure()
         elif name == "figcaption" and figures:
             flush()
+            end_caption(figures[-1])
             if not m[1]:
-                caption = []
-            elif caption is not None:
-                t = _SPACE.sub(" ", unescape("".join(caption))).strip()
-                if figures[-1]:
-                    for k in figures[-1]:
-                        segs[k]["caption"] = t or None
-                elif t:
-                    buf.append(t)
-                    flush()
-                caption = None
+                figures[-1]["open"] = []
+                opened.append(figures[-1])
         elif name not in _INLINE:
-            if caption is not None:
-                caption.append(" ")
+            if (to := sink()) is not buf:
+                to.append(" ")
             else:
                 flush()
     if not skip and at < len(s):
-        (caption if caption is not None else buf).append(s[at:])
-    if caption:
-        buf.append("".join(caption))
+        sink().append(s[at:])
+    while figures:
+        end_figure()
     flush()
+    segs = [x for x in segs if x["pos"] not in gone]
+    for k, x in enumerate(segs):
+        x["pos"] = k
     return segs, list(inline.values())
 
 

@@ -149,6 +149,22 @@ def test_text_and_media_stay_in_order(spark):
     assert bytes(by[None].payload) == b"hi" and by[None].mime == "text/plain" and by[None].digest == hashlib.sha256(b"hi").hexdigest()
 
 
+def seen(html, base="http://h.example/d/p"):
+    segs, _ = media.parse(html, base)
+    assert [x["pos"] for x in segs] == list(range(len(segs)))
+    return [x["text"] if x["kind"] is None else (x["url"].rsplit("/", 1)[1], x["caption"]) for x in segs]
+
+
+def test_a_caption_goes_to_all_media_of_its_figure(spark):
+    first, middle = "<figure><figcaption>C</figcaption><img src=a></figure>", "<figure><img src=a><figcaption>C <b>d</b></figcaption>t<img src=b></figure><img src=c>"
+    assert seen(first) == [("a", "C")] and seen(middle) == [("a", "C d"), "t", ("b", "C d"), ("c", None)]
+    assert seen("x<figure><figcaption>C</figcaption>t</figure>y") == ["x", "C", "t", "y"]  # no media: text in its place
+    assert seen("<figure><figcaption>C</figcaption><img src=a>t") == [("a", "C"), "t"] == seen("<figure><figcaption>C<img src=a></figure>t")
+    assert seen("<figure><figcaption>out</figcaption><figure><img src=a><figcaption>in</figcaption></figure><img src=b></figure>") == [("a", "in"), ("b", "out")]
+    got = {r.page_id: r for r in media.sequences(spark.createDataFrame([(1, "http://h.example/", first), (2, "http://h.example/", middle)], "page_id long, url string, html string")).collect()}
+    assert (got[1].n_text, got[1].n_media, got[1].texts) == (0, 1, [None]) and [m and m.caption for m in got[2].media] == ["C d", None, "C d", None]
+
+
 def test_media_of_awkward_rows(spark):
     pages = spark.createDataFrame([(1, None, None, 0), (2, "u", "", 0), (None, "http://[bad", "<img src=x>" * 3000, 0), (3, "u", "<p>a<p>b", 0), (3, "u", "<p>a<p>b", 0), (4, None, "<!-- open <p>x", 0), (5, "u", "<" * 50_000, 0), (6, "u", "<img src='a'" * 5000, 0)], "page_id long, url string, html string, pos int")
     got = media.sequences(pages).collect()
