@@ -22,7 +22,12 @@ from millrace.plans.scratch import materialize, stable_rows
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'<>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 _SPACE = re.compile(r"\s+")
-_SKIP = {"script", "style", "noscript", "template", "head", "textarea"}
+_SKIP = {"script", "style", "template", "textarea"}
+#: What can stand in a head; anything else, text too, ends it. Tags of these are text inside: only their end tag counts.
+_HEAD = {"head", "base", "link", "meta", "title", "style", "script", "noscript", "template", "noframes", "basefont", "bgsound"}
+_RAW = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*+>", re.I) for x in ("script", "style", "textarea", "title", "noframes")}
+_URL = re.compile(r"[^\s,]\S*+")
+_DESCRIPTOR = re.compile(r"(\d++(?:\.\d++)?)[wx](?=\s|\Z)")
 _INLINE = set("a abbr b bdi bdo big cite code data em font i kbd mark q s samp small span strong sub sup time tt u var wbr".split())
 _MEDIA = {"img": "image", "video": "video", "audio": "audio", "embed": "object", "iframe": "frame", "object": "object"}
 SEGMENT = "struct<pos:int, text:string, kind:string, url:string, alt:string, caption:string, digest:string>"
@@ -40,6 +45,19 @@ def _payload(uri: str) -> tuple[str, bytes] | None:
     return head.removesuffix(";base64").split(";")[0] or "text/plain", raw
 
 
+def _largest(srcset: str) -> str | None:
+    """The first URL of the greatest width or density among the candidates; without a descriptor the density is 1."""
+    best, size, at = None, -1.0, 0
+    while m := _URL.search(srcset, at):
+        url, at, n = m[0].rstrip(","), m.end(), None
+        if url == m[0]:
+            end = srcset.find(",", at)
+            n, at = _DESCRIPTOR.search(srcset, at, len(srcset) if end < 0 else end), len(srcset) if end < 0 else end + 1
+        if (by := float(n[1]) if n else 1.0) > size:
+            best, size = url, by
+    return best
+
+
 def parse(html: str | None, base: str | None) -> tuple[list[dict], list[dict]]:
     """The ordered segments of a page, and the payloads written in it. Unclosed comments and scripts end with the page."""
     segs: list[dict] = []
@@ -80,10 +98,11 @@ def parse(html: str | None, base: str | None) -> tuple[list[dict], list[dict]]:
 
     def refer(kind: str, attrs: dict):
         src = attrs.get("src") or attrs.get("data-src") or attrs.get("data") or attrs.get("poster")
+        many = kind == "image" and (attrs.get("srcset") or attrs.get("data-srcset"))
+        src = unescape(src).strip() if src else _largest(unescape(many)) if many else None
         if not src:
             return
         flush()
-        src = unescape(src).strip()
         if src[:5].lower() == "data:":
             got = _payload(src)
             if got is None:
@@ -100,30 +119,45 @@ def parse(html: str | None, base: str | None) -> tuple[list[dict], list[dict]]:
         for f in figures:
             f["media"].append(segs[-1])
 
-    s, at, skip, holder = html or "", 0, None, None
-    for m in _TOKEN.finditer(s):
-        if m.start() < at:
-            continue
+    s, at, skip, holder, picture = html or "", 0, None, None, None
+    head, aside = False, False  # in the head; in a noscript of it, whose content stands in no head but doesn't end it
+    while m := _TOKEN.search(s, at):
         if not skip and m.start() > at:
-            sink().append(s[at : m.start()])
+            head = head and (aside or not s[at : m.start()].strip())
+            if not head or aside:
+                sink().append(s[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
         if skip:
-            if m[1] and name == skip or skip == "head" and name == "body":
+            if m[1] and name == skip:
                 skip = None
             continue
+        if head and name == "noscript":
+            aside = not m[1]
+        elif not aside and (name in ("body", "html", "br") if m[1] else name not in _HEAD):
+            head = False
+        if name == "head":
+            flush()
+            head, aside = not m[1], False
+            continue
+        if not m[1] and name in _RAW and (name in _SKIP or head):
+            end = _RAW[name].search(s, at)
+            at = end.end() if end else len(s)
+            continue
         if name in _SKIP and not m[1]:
             skip = name
             continue
         attrs = {}
-        if name in _MEDIA or name == "source":
+        if name in _MEDIA and not m[1] or name == "source":
             for a in _ATTR.finditer(m[3] or ""):
                 attrs.setdefault(a[1].lower(), next((x for x in a.groups()[1:] if x is not None), ""))
         if name in _MEDIA:
             if not m[1]:
                 before = len(segs)
+                if name == "img" and picture and not any(attrs.get(x) for x in ("src", "data-src", "srcset", "data-srcset")):
+                    attrs["srcset"] = picture
                 refer(_MEDIA[name], attrs)
                 holder = _MEDIA[name] if name in ("video", "audio") and not any(x["kind"] for x in segs[before:]) else None
             elif name in ("video", "audio"):
@@ -131,6 +165,10 @@ def parse(html: str | None, base: str | None) -> tuple[list[dict], list[dict]]:
         elif name == "source" and holder and attrs.get("src"):
             refer(holder, attrs)
             holder = None
+        elif name == "source" and picture == "":
+            picture = attrs.get("srcset") or attrs.get("data-srcset") or ""
+        elif name == "picture":
+            picture = None if m[1] else ""
         elif name == "figure":
             flush()
             if not m[1]:
@@ -148,7 +186,7 @@ def parse(html: str | None, base: str | None) -> tuple[list[dict], list[dict]]:
                 to.append(" ")
             else:
                 flush()
-    if not skip and at < len(s):
+    if not skip and at < len(s) and (not head or aside or s[at:].strip()):
         sink().append(s[at:])
     while figures:
         end_figure()

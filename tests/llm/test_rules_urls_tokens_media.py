@@ -165,6 +165,30 @@ def test_a_caption_goes_to_all_media_of_its_figure(spark):
     assert (got[1].n_text, got[1].n_media, got[1].texts) == (0, 1, [None]) and [m and m.caption for m in got[2].media] == ["C d", None, "C d", None]
 
 
+def test_the_head_ends_where_the_body_begins(spark):
+    open_head = "<html><head><title>t</title><p>text<img src=a>"
+    assert seen(open_head) == ["text", ("a", None)]
+    assert seen('<head><script>"<p>no<!--"</script><style>p > b {}</style><META name=x><link href=y>\n</head>\n<body>b') == ["b"]
+    assert seen("<head><title>t <p> t</title> bare <b>text</b>") == ["bare text"] and seen("<head><title>t</title></html>x") == ["x"]
+    assert seen("<head><title>open <p>no") == [] and seen("<head><template><p>no</template><img src=a>") == [("a", None)]
+    r = media.sequences(spark.createDataFrame([(1, "http://h.example/", open_head)], "page_id long, url string, html string")).first()
+    assert (r.n_text, r.n_media) == (1, 1)
+
+
+def test_srcset_names_media():
+    assert seen('<img srcset="s.png 480w, l.png 1024w, m.png 800w">') == [("l.png", None)]
+    assert seen('<img srcset="one.png, two.png 2x"><img src="" srcset="one.png, half.png 0.5x"><img src=s.png srcset="l.png 2x">') == [("two.png", None), ("one.png", None), ("s.png", None)]
+    assert seen("<picture><source srcset='p.webp 1x, q.webp 2x'><source srcset=r.png><img alt=x></picture><img alt=y>") == [("q.webp", None)]
+    assert seen("<img srcset=' , '><img srcset=',,,'>") == []
+    segs, inline = media.parse('<img srcset="data:text/plain;base64,aGk= 1x">', "")
+    assert [x["payload"] for x in inline] == [b"hi"] and segs[0]["url"] is None
+
+
+def test_noscript_is_read():
+    assert seen("a<noscript><img src=n.png>text</noscript>b") == ["a", ("n.png", None), "text", "b"]
+    assert seen("<head><noscript><style>no</style><img src=n.png></noscript><title>no</title></head><body>b") == [("n.png", None), "b"]
+
+
 def test_media_of_awkward_rows(spark):
     pages = spark.createDataFrame([(1, None, None, 0), (2, "u", "", 0), (None, "http://[bad", "<img src=x>" * 3000, 0), (3, "u", "<p>a<p>b", 0), (3, "u", "<p>a<p>b", 0), (4, None, "<!-- open <p>x", 0), (5, "u", "<" * 50_000, 0), (6, "u", "<img src='a'" * 5000, 0)], "page_id long, url string, html string, pos int")
     got = media.sequences(pages).collect()
