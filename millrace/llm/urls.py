@@ -6,8 +6,14 @@ components. A block rule that hits any alias blocks them all; an allow rule that
 
 from __future__ import annotations
 
+import re
+from html import unescape
+from urllib.parse import urljoin, urlsplit
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from millrace.llm.components import connected_components
 from millrace.plans.scratch import materialize
@@ -17,6 +23,10 @@ BLOCK_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com", "casino-win.e
 BLOCK_PATHS = (r"/(casino|viagra|xxx)(/|$)",)
 ALLOW_URLS = ("spam-farm.example.org/en/about", "cheap-pills.example.com/en/450")
 TRACKING = r"(utm_[a-z]+|ref|fbclid|gclid|page)"
+_TAGS = r"(?is)<(?:base|link|meta)\b(?:(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)"
+_TAG = re.compile(r"<(\w+)(.*)>", re.S)
+_ATTR = re.compile(r"([^\s=/\"'<>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|[\"']?([^\s\"'>]++)))?")
+_REFRESH = re.compile(r"\s*(?:[0-9.]+(?:\s*[;,]|\s)\s*(?:url\s*=\s*)?|url\s*=\s*)(?:\"([^\"]*)|'([^']*)|(.*))", re.S | re.I)
 
 
 def host(url: Column) -> Column:
@@ -33,11 +43,51 @@ def normal_form(url: Column) -> Column:
     return F.when(h != "", F.concat(h, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
-def html_links(html: Column) -> tuple[Column, Column]:
-    """The targets of a canonical link and of a meta refresh in a page, '' or null without."""
-    canon = F.regexp_extract(F.regexp_extract(html, r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)", 1), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    fresh = F.regexp_extract(html, r"(?is)<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    return canon, fresh
+def resolve(base: str | None, to: str) -> str | None:
+    """The absolute URL of `to` in a page at `base`, without dot segments; None for what can't be resolved."""
+    try:
+        url = urljoin(base or "", to.strip())
+        path = urlsplit(url).path
+        if "/." in path and "://" in url:  # urljoin() leaves those of targets with a host
+            root = re.match(r"[^:]*://[^/?#]*", url)[0]
+            url = root + urljoin("http://h/", path)[len("http://h") :] + url[len(root) + len(path) :]
+        return url
+    except ValueError:
+        return None
+
+
+def targets(url: str | None, tags: list[str] | None) -> list[str]:
+    """The absolute targets of the first canonical link and the first meta refresh among a page's tags, attributes in any order."""
+    found: dict[str, str] = {}
+    for tag in tags or []:
+        m = _TAG.match(tag)
+        attrs: dict[str, str] = {}
+        for a in _ATTR.finditer(m[2]):
+            attrs.setdefault(a[1].lower(), unescape(next((x for x in a.groups()[1:] if x is not None), "")))
+        kind, to = m[1].lower(), attrs.get("href", "")
+        if kind == "link" and "canonical" not in attrs.get("rel", "").lower().split():
+            continue
+        if kind == "meta":
+            if attrs.get("http-equiv", "").strip().lower() != "refresh":
+                continue
+            r = _REFRESH.match(attrs.get("content", ""))
+            to = next((x for x in r.groups() if x), "") if r else ""
+            to = to or attrs.get("url", "")  # of content=0; url=/x without quotes
+        if to.strip():
+            found.setdefault(kind, to)
+    base = resolve(url, found.pop("base")) if "base" in found else url
+    return [t for t in (resolve(base or url, x) for x in found.values()) if t]
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _targets(url: pa.Array, tags: pa.Array) -> pa.Array:
+    return pa.array([targets(u, t) for u, t in zip(url.to_pylist(), tags.to_pylist())], pa.list_(pa.string()))
+
+
+def link_tags(html: Column) -> Column:
+    """The base, link and meta tags of a page that has a canonical link or a meta refresh, else null."""
+    tags = F.filter(F.regexp_extract_all(html, F.lit(_TAGS), F.lit(0)), lambda t: t.rlike(r"(?i)^<base|canonical|refresh"))
+    return F.when(html.rlike(r"(?i)canonical|refresh"), tags)
 
 
 def decide(pages: DataFrame, redirects: DataFrame | None = None, *, key: str = "page_id", url: str = "url", html: str = "html", block_hosts=BLOCK_HOSTS, block_paths=BLOCK_PATHS, allow_urls=ALLOW_URLS) -> DataFrame:
@@ -45,14 +95,12 @@ def decide(pages: DataFrame, redirects: DataFrame | None = None, *, key: str = "
 
     `redirects` (src, dst) are absolute URLs, in any number of hops. verdict: 'allow' (a rule allows the URL's normal
     form), 'block' (a rule blocks one of its aliases, itself among them), else 'pass'. Rows without a usable URL pass;
-    null rows, repeated rows and links to oneself are harmless; links relative to the page resolve against its host.
+    null rows, repeated rows and links to oneself are harmless; links relative to the page resolve against its URL or its base element's.
     """
-    p = pages.select(F.col(key).alias("k"), F.col(url).alias("url"), normal_form(F.col(url)).alias("normal"), *[c.alias(n) for n, c in zip(("canon", "fresh"), html_links(F.col(html)))])
+    p = pages.select(F.col(key).alias("k"), F.col(url).alias("url"), normal_form(F.col(url)).alias("normal"), link_tags(F.col(html)).alias("tags"))
     p = materialize(p, "urls")
-    scheme_host = F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    links = p.select("url", "normal", F.explode(F.array("canon", "fresh")).alias("to")).where("to != ''")
-    absolute = F.when(F.col("to").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to"))).when(F.col("to").startswith("/"), F.concat(scheme_host, F.col("to")))
-    edges = links.select(F.col("normal").alias("src"), normal_form(absolute).alias("dst"))
+    links = p.where("size(tags) > 0").select("normal", F.explode(_targets("url", "tags")).alias("to"))
+    edges = links.select(F.col("normal").alias("src"), normal_form(F.col("to")).alias("dst"))
     if redirects is not None:
         edges = edges.unionAll(redirects.select(normal_form(F.col("src")), normal_form(F.col("dst"))))
     edges = edges.where("src != dst")

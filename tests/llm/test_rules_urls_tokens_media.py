@@ -79,6 +79,28 @@ def test_blocks_follow_aliases_and_allow_comes_first(spark):
     assert {v for v, _ in verdicts(urls.decide(pages, redirects, block_hosts=(), block_paths=(), allow_urls=())).values()} == {"pass"}
 
 
+def test_every_form_of_link_makes_an_alias(spark):
+    canon, fresh = '<link rel="canonical" href="{}">', "<meta content='0; URL={}' http-equiv=Refresh>"
+    cases = [
+        ("http://h.example/a/b/c.html", canon.format("bad1.html"), "http://h.example/a/b/bad1"),
+        ("http://h.example/a/b/d.html", canon.format("../bad2"), "http://h.example/a/bad2"),
+        ("http://h.example/list", canon.format("?id=1"), "http://h.example/list?id=1"),
+        ("http://h.example/e", fresh.format("bad4"), "http://h.example/bad4"),
+        ("http://h.example/f", canon.format("http://o.example/x?a=1&amp;b=2"), "http://o.example/x?a=1&b=2"),
+        ("http://h.example/g", canon.format("https://o.example/u/./v/../bad6"), "http://o.example/u/bad6"),
+        ("http://h.example/i/", "<base href='/other/'>" + canon.format("bad7"), "http://h.example/other/bad7"),
+        ("http://h.example/j", "<link title='a>b' href=' /bad8 ' rel='alternate Canonical'>", "http://h.example/bad8"),
+        ("http://h.example/k", '<META HTTP-EQUIV="refresh" CONTENT="3;url=&#39;bad9&#39;">', "http://h.example/bad9"),
+        ("http://h.example/l", "<meta http-equiv=refresh content=0; url=/bad10>", "http://h.example/bad10"),
+    ]
+    rows = [(i, u, h, "", "") for i, (u, h, _) in enumerate(cases)] + [(100 + i, u, "", "", "") for i, (*_, u) in enumerate(cases)]
+    rows += [(200, "http://n.example/1", canon.format("mailto:x@y.example"), "", ""), (201, "http://n.example/2", canon.format("http://[bad"), "", ""), (202, None, canon.format("x"), "", ""), (203, "http://n.example/3", '<link rel=canonical><meta http-equiv=refresh content=5><meta name=refresh content="0;url=/1">', "", "")]
+    got = verdicts(urls.decide(page(spark, rows), block_hosts=("o.example",), block_paths=(r"/bad[0-9]+$", r"id=1$"), allow_urls=()))
+    for i in range(len(cases)):
+        assert got[i] == ("block", got[100 + i][1]), cases[i]
+    assert {got[i][0] for i in (200, 201, 202, 203)} == {"pass"} and got[203][1] == "n.example/3"
+
+
 def test_a_long_chain_of_redirects_is_one_component(spark):
     rows = [(i, f"http://h{i}.example/p", "", "", "") for i in range(200)]
     red = spark.createDataFrame([(f"http://h{i}.example/p", f"https://www.h{i + 1}.example/p/") for i in range(199)], "src string, dst string")
