@@ -125,7 +125,10 @@ def ranks(freq: np.ndarray) -> np.ndarray:
 
 
 def to_binary(docs: DataFrame, *, text: str = "text", key: str = "doc_id", vocabulary: str = VOCABULARY) -> tuple[DataFrame, np.ndarray]:
-    """(key, n_tokens, control, data) for every row, and rank[id], which decoding needs. A null or empty text has 0 tokens and no bytes."""
+    """(key, n_tokens, control, data) for every row, and rank[id], which decoding needs. A null or empty text has 0 tokens and no bytes.
+
+    rank[id] also is in the metadata of the column data, which stays with it when written as Parquet: see stored_ranks().
+    """
     raw, kind, size = token_ids(docs, text=text, key=key, vocabulary=vocabulary)
     rank = ranks(frequencies(raw, kind, size))
 
@@ -139,7 +142,14 @@ def to_binary(docs: DataFrame, *, text: str = "text", key: str = "doc_id", vocab
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], [key, "n_tokens", "control", "data"])
 
     t = docs.schema[key].dataType.simpleString()
-    return raw.mapInArrow(run, f"`{key}` {t}, n_tokens long, control binary, data binary"), rank
+    out = raw.mapInArrow(run, f"`{key}` {t}, n_tokens long, control binary, data binary")
+    return out.withMetadata("data", {"ranks": base64.b64encode(rank.astype(kind).tobytes()).decode(), "rank_bytes": kind.itemsize}), rank
+
+
+def stored_ranks(binary: DataFrame) -> np.ndarray:
+    """rank[id] of a table that to_binary() returned, or of one read from where it was written."""
+    meta = binary.schema["data"].metadata
+    return np.frombuffer(base64.b64decode(meta["ranks"]), f"<u{meta['rank_bytes']}").astype(np.uint32)
 
 
 def to_text(control: bytes, data: bytes, count: int, rank: np.ndarray, vocabulary: str = VOCABULARY) -> str:

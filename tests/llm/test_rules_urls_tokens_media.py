@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from millrace.llm import media, rules, tokens, urls
+from millrace.llm import media, queries, rules, tokens, urls
 from tests.llm.fixtures import LONG, awkward, documents
 
 # quality rules
@@ -137,6 +137,15 @@ def test_every_text_comes_back_from_its_ids(spark, sf_dir):
     assert best == back.tolist()
 
 
+def test_the_token_query_can_be_decoded_from_what_it_returns(spark, sf_dir, tmp_path):
+    queries.op8_token_binary(spark, sf_dir).write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.columns == ["doc_id", "n_tokens", "control", "data"]
+    enc, back = tokens.load(tokens.VOCABULARY), np.argsort(tokens.stored_ranks(out.where("n_tokens > 0")))
+    got = {r.doc_id: enc.decode(back[tokens.decode(r.control, r.data, r.n_tokens)].tolist()) for r in out.collect()}
+    assert got == {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+
+
 def test_tokens_of_awkward_rows(spark):
     docs = awkward(spark)
     out, rank = tokens.to_binary(docs)
