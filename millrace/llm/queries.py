@@ -44,7 +44,7 @@ def quality_rule_ablations(spark, sf_dir):
 
 
 def op7_url_filters(spark, sf_dir):
-    return urls.decide(_t(spark, sf_dir, "pages"))
+    return urls.decide(_t(spark, sf_dir, "pages"), tracking=urls.TRACKING)
 
 
 def op8_token_binary(spark, sf_dir):

@@ -22,7 +22,10 @@ from millrace.plans.scratch import materialize
 BLOCK_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com", "casino-win.example.net")
 BLOCK_PATHS = (r"/(casino|viagra|xxx)(/|$)",)
 ALLOW_URLS = ("spam-farm.example.org/en/about", "cheap-pills.example.com/en/450")
+#: Parameters that say how a page was reached. In the given URLs page and ref are such decoration; elsewhere they may name
+#: another page, so only the registered query removes them.
 TRACKING = r"(utm_[a-z]+|ref|fbclid|gclid|page)"
+TRACKING_ONLY = r"(utm_[a-z]+|fbclid|gclid)"
 _TAGS = r"(?is)<(?:base|link|meta)\b(?:(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)"
 _TAG = re.compile(r"<(\w+)(.*)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'<>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|[\"']?([^\s\"'>]++)))?")
@@ -33,12 +36,12 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), r"^(www|m)\.|:[0-9]+$", "")
 
 
-def normal_form(url: Column) -> Column:
+def normal_form(url: Column, tracking: str = TRACKING_ONLY) -> Column:
     """Host and path without scheme, www. or m., port, fragment, tracking parameters, .html and a last slash; null for what has no scheme and host."""
     rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     path = F.regexp_replace(rest, r"(\.html?)?/?$", "")
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    kept = F.regexp_replace(F.regexp_replace(query, rf"(^|&){TRACKING}=[^&]*", ""), r"^&", "")
+    kept = F.regexp_replace(F.regexp_replace(query, rf"(^|&){tracking}=[^&]*", ""), r"^&", "")
     h = host(url)
     return F.when(h != "", F.concat(h, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
@@ -90,19 +93,19 @@ def link_tags(html: Column) -> Column:
     return F.when(html.rlike(r"(?i)canonical|refresh"), tags)
 
 
-def decide(pages: DataFrame, redirects: DataFrame | None = None, *, key: str = "page_id", url: str = "url", html: str = "html", block_hosts=BLOCK_HOSTS, block_paths=BLOCK_PATHS, allow_urls=ALLOW_URLS) -> DataFrame:
+def decide(pages: DataFrame, redirects: DataFrame | None = None, *, key: str = "page_id", url: str = "url", html: str = "html", block_hosts=BLOCK_HOSTS, block_paths=BLOCK_PATHS, allow_urls=ALLOW_URLS, tracking: str = TRACKING_ONLY) -> DataFrame:
     """key, url, normal, component, blocked_self, allowed_self, verdict for every row of `pages`.
 
-    `redirects` (src, dst) are absolute URLs, in any number of hops. verdict: 'allow' (a rule allows the URL's normal
+    `tracking` matches the names of parameters that the normal form leaves out. `redirects` (src, dst) are absolute URLs, in any number of hops. verdict: 'allow' (a rule allows the URL's normal
     form), 'block' (a rule blocks one of its aliases, itself among them), else 'pass'. Rows without a usable URL pass;
     null rows, repeated rows and links to oneself are harmless; links relative to the page resolve against its URL or its base element's.
     """
-    p = pages.select(F.col(key).alias("k"), F.col(url).alias("url"), normal_form(F.col(url)).alias("normal"), link_tags(F.col(html)).alias("tags"))
+    p = pages.select(F.col(key).alias("k"), F.col(url).alias("url"), normal_form(F.col(url), tracking).alias("normal"), link_tags(F.col(html)).alias("tags"))
     p = materialize(p, "urls")
     links = p.where("size(tags) > 0").select("normal", F.explode(_targets("url", "tags")).alias("to"))
-    edges = links.select(F.col("normal").alias("src"), normal_form(F.col("to")).alias("dst"))
+    edges = links.select(F.col("normal").alias("src"), normal_form(F.col("to"), tracking).alias("dst"))
     if redirects is not None:
-        edges = edges.unionAll(redirects.select(normal_form(F.col("src")), normal_form(F.col("dst"))))
+        edges = edges.unionAll(redirects.select(normal_form(F.col("src"), tracking), normal_form(F.col("dst"), tracking)))
     edges = edges.where("src != dst")
     comp = connected_components(edges)
     nodes = p.select("normal").unionAll(edges.select("src")).unionAll(edges.select("dst")).where("normal IS NOT NULL").distinct()

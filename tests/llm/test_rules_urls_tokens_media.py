@@ -101,6 +101,13 @@ def test_every_form_of_link_makes_an_alias(spark):
     assert {got[i][0] for i in (200, 201, 202, 203)} == {"pass"} and got[203][1] == "n.example/3"
 
 
+def test_pages_of_a_list_are_no_aliases(spark):
+    rows = [(i, f"http://l.example/list?{q}", "", "", "") for i, q in enumerate(("page=1", "page=2&utm_source=x", "ref=3", "page=2"))]
+    args = {"block_hosts": (), "block_paths": (r"page=2$",), "allow_urls": ("l.example/list?page=1",)}
+    assert [v for _, (v, _) in sorted(verdicts(urls.decide(page(spark, rows), **args)).items())] == ["allow", "block", "pass", "block"]
+    assert len({c for _, c in verdicts(urls.decide(page(spark, rows), tracking=urls.TRACKING)).values()}) == 1
+
+
 def test_a_long_chain_of_redirects_is_one_component(spark):
     rows = [(i, f"http://h{i}.example/p", "", "", "") for i in range(200)]
     red = spark.createDataFrame([(f"http://h{i}.example/p", f"https://www.h{i + 1}.example/p/") for i in range(199)], "src string, dst string")
