@@ -32,7 +32,7 @@ def op4_best_fit_packing(spark, sf_dir):
 
 
 def op5_simhash_dedup(spark, sf_dir):
-    return simhash.near_duplicates(_t(spark, sf_dir, "documents")).drop("_rid")
+    return simhash.near_duplicates(_t(spark, sf_dir, "documents"))
 
 
 def op6_quality_rules(spark, sf_dir):

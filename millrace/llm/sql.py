@@ -100,7 +100,7 @@ e AS (SELECT a.id AS a, b.id AS b FROM f a JOIN f b ON a.id <> b.id AND bit_coun
 reach AS (SELECT id, id AS other FROM f UNION SELECT r.id, e.b FROM reach r JOIN e ON e.a = r.other),
 comp AS (SELECT id, min(other) AS g FROM reach GROUP BY id),
 grp AS (SELECT fp.doc_id, comp.g FROM fp JOIN f ON f.f = fp.f JOIN comp ON comp.id = f.id)
-SELECT d.doc_id, coalesce(g, d.doc_id) AS group_id, coalesce(g, d.doc_id) = d.doc_id AS keep FROM documents d LEFT JOIN grp ON grp.doc_id = d.doc_id"""
+SELECT d.doc_id, coalesce(g, d.doc_id) AS group_id, CASE WHEN g IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY g) - 1 END AS n_links, coalesce(g, d.doc_id) = d.doc_id AS keep FROM documents d LEFT JOIN grp ON grp.doc_id = d.doc_id"""
 
 SQL: dict[str, str] = {
     "op5_simhash_dedup": _SIMHASH,

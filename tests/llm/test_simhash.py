@@ -1,10 +1,12 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import simhash
 from millrace.llm.components import connected_components
@@ -44,18 +46,55 @@ def brute_fingerprints(texts):
     return out
 
 
-def test_pairs_are_those_of_brute_force(spark):
-    r = random.Random(5)
-    base = [r.getrandbits(128) for _ in range(60)]
-    near = [b ^ sum(1 << i for i in r.sample(range(128), r.randrange(0, 24))) for b in base for _ in range(6)]
-    all_ = sorted(set(base + near))
+def table_of(spark, values):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    fps = spark.createDataFrame([(signed(x >> 64), signed(x & (2**64 - 1))) for x in all_], "hi long, lo long").repartition(5)
-    for radius, segments in ((17, 6), (9, 4), (3, 3), (0, 4)):
-        got = [tuple(x % (1 << 64) for x in row) for row in simhash.near_pairs(fps, radius=radius, segments=segments).collect()]
-        got = [frozenset((a << 64 | b, c << 64 | d)) for a, b, c, d in got]
-        want = {frozenset((a, b)) for i, a in enumerate(all_) for b in all_[:i] if (a ^ b).bit_count() <= radius}
-        assert len(got) == len(set(got)) and set(got) == want
+    return spark.createDataFrame([(i, signed(x >> 64), signed(x & (2**64 - 1))) for i, x in enumerate(values)], "id long, hi long, lo long").repartition(5)
+
+
+def components(links, n):
+    return groups([(r.src, r.dst) for r in links.collect()], range(n))
+
+
+def scattered(seed, bases, copies, most):
+    r = random.Random(seed)
+    base = [r.getrandbits(128) for _ in range(bases)]
+    return sorted({b ^ sum(1 << i for i in r.sample(range(128), r.randrange(0, most))) for b in base for _ in range(copies)} | set(base))
+
+
+@pytest.mark.parametrize("radius,segments", [(17, 6), (17, None), (9, 4), (3, 3), (0, 4), (20, 3)])
+def test_links_join_what_all_pairs_join(spark, radius, segments):
+    values = scattered(5, 60, 6, 24)
+    want = groups([(i, j) for i, a in enumerate(values) for j, b in enumerate(values[:i]) if (a ^ b).bit_count() <= radius], range(len(values)))
+    assert components(simhash.near_links(table_of(spark, values), radius=radius, segments=segments), len(values)) == want
+
+
+def test_hot_places_are_divided_and_lose_no_link(spark):
+    values = scattered(6, 3, 250, 14)
+    r = random.Random(7)
+    values = sorted({*values, *(values[0] ^ sum(1 << i for i in r.sample(range(128), 30)) for _ in range(150))})
+    want = groups([(i, j) for i, a in enumerate(values) for j, b in enumerate(values[:i]) if (a ^ b).bit_count() <= 17], range(len(values)))
+    assert 2 < len(set(want.values())) < len(values)
+    assert components(simhash.near_links(table_of(spark, values), segments=6, rows_per_place=40), len(values)) == want
+
+
+def test_thousands_of_near_fingerprints_dont_make_all_pairs(spark):
+    r = random.Random(8)
+    base = r.getrandbits(128)
+    values = sorted({base ^ sum(1 << i for i in r.sample(range(128), r.randrange(1, 9))) for _ in range(20_000)})
+    began = time.perf_counter()
+    links = simhash.near_links(table_of(spark, values)).collect()
+    assert len(set(groups([(x.src, x.dst) for x in links], range(len(values))).values())) == 1
+    assert len(links) <= 18 * len(values) and time.perf_counter() - began < 60
+
+
+def test_ranges_of_values_give_the_same_links(monkeypatch):
+    values = scattered(9, 40, 30, 24)
+    hi, lo = (np.array([x >> s & (2**64 - 1) for x in values], np.uint64) for s in (64, 0))
+    seg = simhash._segments(6)
+    place = int(simhash._cut(hi[:1], lo[:1], *simhash._parts(*seg[1], 3)[2])[0]) << 8 | 2 << 3 | 1
+    a = simhash._link(place, hi, lo, 17, seg)
+    monkeypatch.setattr(simhash, "_KEYS_AT_ONCE", 1 << 10)
+    assert np.array_equal(a, simhash._link(place, hi, lo, 17, seg)) and len(set(a)) < len(values)
 
 
 def test_the_query_gives_the_groups_of_brute_force(spark, sf_dir):
@@ -64,8 +103,9 @@ def test_the_query_gives_the_groups_of_brute_force(spark, sf_dir):
     fp = dict(zip((i for i, _ in rows), brute_fingerprints([t for _, t in rows])))
     ids = [i for i, _ in rows]
     want = groups([(a, b) for k, a in enumerate(ids) for b in ids[:k] if fp[a] is not None and fp[b] is not None and (fp[a] ^ fp[b]).bit_count() <= simhash.RADIUS], ids)
-    got = {r.doc_id: (r.group_id, r.keep) for r in simhash.near_duplicates(docs).collect()}
-    assert got == {i: (want[i], want[i] == i) for i in ids}
+    size = Counter(want.values())
+    got = {r.doc_id: (r.group_id, r.n_links, r.keep) for r in simhash.near_duplicates(docs).collect()}
+    assert got == {i: (want[i], size[want[i]] - 1, want[i] == i) for i in ids}
 
 
 def test_recall_of_planted_copies_and_clean_documents_stay(spark):
@@ -92,7 +132,22 @@ def test_awkward_rows(spark):
     assert kept.columns == docs.columns and kept.where("doc_id = 5").first().text == LONG
     assert simhash.dedup(documents(spark)).count() == 0
     with pytest.raises(ValueError):
-        simhash.near_pairs(docs, segments=1)
+        simhash.near_links(docs, segments=1)
+
+
+def test_names_that_clash(spark):
+    docs = awkward(spark)
+    named = docs.toDF("keep", "hi", "_rid", "_k", "_fp", "group_id", "lo")
+    got = simhash.near_duplicates(named, text="hi", key="keep")
+    assert got.columns == ["keep", "group_id", "n_links", "keep_"] and got.where("keep_").count() == simhash.dedup(docs).count()
+    kept = simhash.dedup(named, text="hi", key="keep")
+    assert kept.columns == named.columns and Counter(map(tuple, kept.collect())) == Counter(map(tuple, simhash.dedup(docs).collect()))
+
+
+def test_rows_in_another_order_each_time(spark):
+    rows = [(k, prose(k // 3, 80), "en", "a") for k in range(60)]
+    docs = documents(spark, rows).repartition(7).orderBy(F.rand())
+    assert sorted(r.doc_id for r in simhash.dedup(docs).collect()) == [k for k in range(60) if k % 3 == 0]
 
 
 def test_components_of_chains_and_stars(spark):
