@@ -56,20 +56,22 @@ class Words:
         return [bucket(w, self.bits), *p]
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Feature ids and values, a count over the root of the words' number. Nothing for a text without words."""
+        """Feature ids and values, 1 + log of the count over log2 of the number of words, so that one word among thousands still counts. Nothing for a text without words."""
         words = (text or "").lower().split()
         if not words:
             return np.zeros(0, np.int32), np.zeros(0, np.float32)
         c = Counter(words)
         ids = self.memo.rows(c)
-        v = np.fromiter(c.values(), np.float32, len(c)) / np.float32(np.sqrt(len(words)))
+        v = (1 + np.log(np.fromiter(c.values(), np.float32, len(c)))) / np.float32(np.log2(1 + len(words)))
         return ids.ravel(), np.repeat(v, 4)
 
 
+_RUN = re.compile(r"(a|A|0)\1+")
+
+
 def shape(token: str) -> str:
-    """A token with runs of small letters, capitals and digits as one a, A or 0, other signs as they are, 12 at most."""
-    plain = "".join("a" if ch.islower() else "A" if ch.isupper() else "0" if ch.isdigit() else ch for ch in token[:64])
-    return re.sub(r"(a|A|0)\1+", r"\1", plain)[:12]
+    """A token with runs of small letters, capitals and digits as one a, A or 0, other signs as they are."""
+    return _RUN.sub(r"\1", "".join("a" if ch.islower() else "A" if ch.isupper() else "0" if ch.isdigit() else ch for ch in token))
 
 
 class Shapes:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,41 @@ def sample_by_hash(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.where(F.col(key).isNotNull()).withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
 
 
+def featured(rows: DataFrame, f: Callable[[], Callable], extra: dict[str, str], n: int, size: int) -> pa.Table:
+    """At most `n` rows' features, on the driver: (h, fold, idx, val, extra...), in the order of h.
+
+    rows: _key, _text and columns called like `extra` (name: type), where f gives features of a text. h is a hash of key
+    and text: of rows with equal ones, one counts, with the greatest extra columns; the n least h are taken, by each
+    task first, so that no task keeps, sends or receives more. fold is a hash of the text: copies have the same.
+    """
+    schema = "h long, fold long, idx binary, val binary" + "".join(f", `{c}` {t}" for c, t in extra.items())
+
+    def run(batches):
+        g, kept = f(), {}
+        worst = None
+        for b in batches:
+            c = {k: b.column(k).to_pylist() for k in ("_h", "_text", *extra)}
+            for i, h in enumerate(c["_h"]):
+                more = tuple(c[k][i] for k in extra)
+                if h in kept:
+                    kept[h] = (*kept[h][:3], *(max(x, y) for x, y in zip(kept[h][3:], more)))
+                elif len(kept) < n or h < worst:
+                    t = c["_text"][i]
+                    kept[h] = (zlib.crc32((t or "").encode("utf-8", "surrogatepass")), *packed(*g(t), size), *more)
+                    if len(kept) > n:
+                        del kept[worst]
+                        worst = max(kept)
+                    elif len(kept) == n:
+                        worst = max(kept)
+        keys = sorted(kept)
+        cols = [pa.array(keys, pa.int64()), *(pa.array([kept[h][k] for h in keys], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), *([pa.float64()] * len(extra)))))]
+        yield pa.RecordBatch.from_arrays(cols, ["h", "fold", "idx", "val", *extra])
+
+    got = rows.select(F.xxhash64("_key", "_text").alias("_h"), "_text", *[F.col(c).cast("double").alias(c) for c in extra]).mapInArrow(run, schema)
+    one = got.groupBy("h").agg(*[F.first(c).alias(c) for c in ("fold", "idx", "val")], *[F.max(c).alias(c) for c in extra])
+    return one.orderBy("h").limit(n).toArrow().sort_by("h")
+
+
 def packed(ids: np.ndarray, val: np.ndarray, size: int) -> tuple[bytes, bytes]:
     """Features as bytes of 32-bit numbers: each bucket below `size` once, in order, its values added up."""
     ok = ids < size
