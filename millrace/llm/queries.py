@@ -18,8 +18,7 @@ def op1_quality_classifier(spark, sf_dir):
 
 
 def op2_source_mixing(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents")
-    return mixing.rates(docs, mixing.balance(docs))
+    return mixing.rates(_t(spark, sf_dir, "documents"))
 
 
 def op3_toxicity(spark, sf_dir):

@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.names import beside, quoted
 from millrace.plans.scratch import materialize
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -22,14 +25,29 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) % 4 + 1
 
 
-def load(path: str):
+def read(path: str) -> bytes:
+    """The vocabulary's file. It is read on the driver and sent with the tasks, so executors need no copy."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+@lru_cache(4)
+def encoding(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
     return tiktoken.Encoding("from file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def load(path: str):
+    return encoding(read(path))
+
+
+def kind_of(path: str) -> np.dtype:
+    """Of a vocabulary's ids: unsigned 16 bits for up to 65,536, else 32."""
+    return np.dtype("<u2" if load(path).n_vocab <= 65536 else "<u4")
+
+
 class Tokenizer(dict):
     """text -> its ids as bytes of unsigned 32-bit or, for a vocabulary of up to 65,536, 16-bit numbers.
 
@@ -37,9 +55,9 @@ class Tokenizer(dict):
     looked up one by one; texts with a blank before white space are encoded whole. As a dict: word -> bytes of ' word'.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, vocabulary: bytes, limit: int = 500_000):
         super().__init__()
-        self.enc, self.limit = load(path), limit
+        self.enc, self.limit = encoding(vocabulary), limit
         self.kind = np.dtype("<u2" if self.enc.n_vocab <= 65536 else "<u4")
         self.plain = re.compile(r" \s").search
 
@@ -63,6 +81,52 @@ class Tokenizer(dict):
         return b"".join([self.bytes_of(first), *map(self.__getitem__, rest)])
 
 
+class Counter(Tokenizer):
+    """text -> the number of its ids. As a dict: word -> the number of ids of ' word'."""
+
+    def __missing__(self, word: str) -> int:
+        n = len(self.enc.encode_ordinary(" " + word))
+        if len(word) <= 40:
+            self[word] = n
+        return n
+
+    def __call__(self, text: str | None) -> int:
+        if not text:
+            return 0
+        if self.plain(text):
+            return len(self.enc.encode_ordinary(text))
+        if len(self) > self.limit:
+            self.clear()
+        first, *rest = text.split(" ")
+        return len(self.enc.encode_ordinary(first)) + sum(map(self.__getitem__, rest))
+
+
+def count(vocabulary: str = VOCABULARY):
+    """A column function: text -> the number of its tokens, 0 for null."""
+    file = read(vocabulary)
+
+    @F.arrow_udf("bigint")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        f = Counter(file)
+        for b in batches:
+            yield pa.array([f(t) for t in b.to_pylist()], pa.int64())
+
+    return run
+
+
+def ids(vocabulary: str = VOCABULARY):
+    """A column function: text -> its token ids as bytes, none for null."""
+    file = read(vocabulary)
+
+    @F.arrow_udf("binary")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        f = Tokenizer(file)
+        for b in batches:
+            yield pa.array([f(t) for t in b.to_pylist()], pa.binary())
+
+    return run
+
+
 def encode(ids: np.ndarray) -> tuple[bytes, bytes]:
     """(control, data) of unsigned ids below 2^32."""
     x = np.ascontiguousarray(ids, "<u4")
@@ -84,18 +148,9 @@ def decode(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out
 
 
-def token_ids(docs: DataFrame, *, text: str = "text", key: str = "doc_id", vocabulary: str = VOCABULARY) -> tuple[DataFrame, np.dtype, int]:
-    """The written table (key, raw): each row's ids as bytes, no bytes for a null or empty text; their type; the vocabulary's size."""
-    enc = load(vocabulary)
-    kind, size = np.dtype("<u2" if enc.n_vocab <= 65536 else "<u4"), enc.n_vocab
-
-    def run(batches):
-        f = Tokenizer(vocabulary)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f(t) for t in b.column(1).to_pylist()], pa.binary())], [key, "raw"])
-
-    t = docs.schema[key].dataType.simpleString()
-    return materialize(docs.select(key, text).mapInArrow(run, f"`{key}` {t}, raw binary"), "token-ids"), kind, size
+def token_ids(docs: DataFrame, *, text: str = "text", key: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
+    """The written table (_k, raw): each row's key and ids as bytes, no bytes for a null or empty text."""
+    return materialize(docs.select(quoted(key).alias("_k"), ids(vocabulary)(quoted(text)).alias("raw")), "token-ids")
 
 
 def frequencies(raw: DataFrame, kind: np.dtype, size: int) -> np.ndarray:
@@ -128,27 +183,29 @@ def to_binary(docs: DataFrame, *, text: str = "text", key: str = "doc_id", vocab
     """(key, n_tokens, control, data) for every row, and rank[id], which decoding needs. A null or empty text has 0 tokens and no bytes.
 
     rank[id] also is in the metadata of the column data, which stays with it when written as Parquet: see stored_ranks().
+    A column that is called like the key gets an underscore.
     """
-    raw, kind, size = token_ids(docs, text=text, key=key, vocabulary=vocabulary)
-    rank = ranks(frequencies(raw, kind, size))
+    kind = kind_of(vocabulary)
+    raw = token_ids(docs, text=text, key=key, vocabulary=vocabulary)
+    rank = ranks(frequencies(raw, kind, load(vocabulary).n_vocab))
 
     def run(batches):
         for b in batches:
             n, control, data = [], [], []
             for x in b.column(1).to_pylist():
-                ids = rank[np.frombuffer(x, kind)]
-                c, d = encode(ids)
-                n.append(len(ids)), control.append(c), data.append(d)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], [key, "n_tokens", "control", "data"])
+                got = rank[np.frombuffer(x, kind)]
+                c, d = encode(got)
+                n.append(len(got)), control.append(c), data.append(d)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data, pa.binary())], ["_k", "n_tokens", "control", "data"])
 
-    t = docs.schema[key].dataType.simpleString()
-    out = raw.mapInArrow(run, f"`{key}` {t}, n_tokens long, control binary, data binary")
-    return out.withMetadata("data", {"ranks": base64.b64encode(rank.astype(kind).tobytes()).decode(), "rank_bytes": kind.itemsize}), rank
+    out = raw.mapInArrow(run, f"_k {raw.schema['_k'].dataType.simpleString()}, n_tokens long, control binary, data binary")
+    out = beside(out, "_k", key, ["n_tokens", "control", "data"])
+    return out.withMetadata(out.columns[-1], {"ranks": base64.b64encode(rank.astype(kind).tobytes()).decode(), "rank_bytes": kind.itemsize}), rank
 
 
 def stored_ranks(binary: DataFrame) -> np.ndarray:
     """rank[id] of a table that to_binary() returned, or of one read from where it was written."""
-    meta = binary.schema["data"].metadata
+    meta = next(f.metadata for f in binary.schema if "rank_bytes" in (f.metadata or {}))
     return np.frombuffer(base64.b64decode(meta["ranks"]), f"<u{meta['rank_bytes']}").astype(np.uint32)
 
 
