@@ -1,7 +1,8 @@
 """From raw documents to packed sequences: toxicity, quality, near-duplicates, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept, written as Parquet and read again. All
-but the last return the columns of documents.
+but the last return the columns of documents, and extra ones with them, whatever their names. Null and empty texts,
+repeated rows and null keys go through each stage as its operator's docstring says; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -13,27 +14,27 @@ from millrace.plans.scratch import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain, trained on the labelled ones among `docs`, doesn't reject."""
+    """Documents that the classifier chain, trained on the labelled ones among `docs`, doesn't reject. Null and empty texts score alike, by the models' biases."""
     return toxicity.clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weakly supervised scorer rates high."""
+    """Documents that the weakly supervised scorer rates high. Null and empty texts get its base score."""
     return quality.high(docs, quality.fit(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, that of the least key. Texts without words stay."""
     return simhash.dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates, which balance the sources, say."""
-    return mixing.mix(docs, mixing.balance(docs))
+    """Documents as often as their rates, which balance the sources' tokens, say. A null source or language is one of its own."""
+    return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in the packed sequences."""
+    """Where each piece of each document stands in the packed sequences. Texts without tokens have no piece."""
     return packing.pack(docs)
 
 
