@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.names import beside, quoted
 
 TOP, TRAIN_PER_LANG = 300, 300
 
@@ -56,11 +57,11 @@ def profiles(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: st
 
     Rows with a null language or key don't train. Counting is in the cluster; languages x top_k numbers come back.
     """
-    ids = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.col(lang).alias("_lang"), F.col(key).alias("_key")).distinct()
+    ids = docs.select(quoted(lang).alias("_lang"), quoted(key).alias("_key")).where("_lang IS NOT NULL AND _key IS NOT NULL").distinct()
     # few rows per language leave each task: the rank limit is applied before the shuffle too
     w = Window.partitionBy("_lang").orderBy(F.md5(F.col("_key").cast("string")), "_key")
     ids = ids.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_lang).drop("_r")
-    rows = docs.select(F.col(lang).alias("_l2"), F.col(key).alias("_k2"), F.col(text).alias("_text"))
+    rows = docs.select(quoted(lang).alias("_l2"), quoted(key).alias("_k2"), quoted(text).alias("_text"))
     rows = rows.join(F.broadcast(ids), (F.col("_k2") == F.col("_key")) & (F.col("_l2") == F.col("_lang")))
 
     def run(batches):
@@ -92,7 +93,7 @@ def distances(codes: np.ndarray, prof: list[tuple[np.ndarray, np.ndarray]], top_
 def identify(docs: DataFrame, prof: dict[str, np.ndarray], *, text: str = "text", key: str = "doc_id", top_k: int = TOP) -> DataFrame:
     """key, pred_lang, distance, margin for every row: the nearest profile (the first by name of equal ones) and how much farther the next is.
 
-    A text without letters, a null one, or no profiles: pred_lang null, distance and margin null. With one profile the margin is null.
+    A text without letters, a null one, or no profiles: pred_lang null, distance and margin null. With one profile the margin is null. A column that is called like the key gets an underscore.
     """
     names = sorted(prof)
     table = [(prof[n][o := np.argsort(prof[n])], o) for n in names]
@@ -110,7 +111,8 @@ def identify(docs: DataFrame, prof: dict[str, np.ndarray], *, text: str = "text"
                 rest = np.delete(d, k)
                 out.append((names[k], int(d[k]), int(rest.min() - d[k]) if len(rest) else None))
             cols = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, kind) for c, kind in zip(cols, (pa.string(), pa.int64(), pa.int64())))], [key, "pred_lang", "distance", "margin"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, kind) for c, kind in zip(cols, (pa.string(), pa.int64(), pa.int64())))], ["_k", "pred_lang", "distance", "margin"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, pred_lang string, distance long, margin long")
+    out = docs.select(quoted(key), quoted(text)).mapInArrow(run, f"_k {kind}, pred_lang string, distance long, margin long")
+    return beside(out, "_k", key, ["pred_lang", "distance", "margin"])

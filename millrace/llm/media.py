@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.scratch import materialize, stable_rows
+from millrace.functions.names import quoted, unused
+from millrace.plans.scratch import materialize
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'<>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
@@ -204,8 +205,9 @@ def sequences(pages: DataFrame, store: DataFrame | None = None, *, key: str = "p
     mime, payload>; payload and mime are null where nothing resolves the digest. `store` (url, mime, payload) holds
     payloads of absolute URLs; of repeated URLs or digests one entry counts, the least. A figure's caption goes to
     all its media, before or after them. Null or empty pages have empty arrays. Repeated rows give repeated results.
+    Of the store and of payloads in pages only those are moved that a page refers to. A column that is called like the
+    key or the URL gets an underscore.
     """
-    pages = stable_rows(pages, "pages")
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -215,7 +217,7 @@ def sequences(pages: DataFrame, store: DataFrame | None = None, *, key: str = "p
             inline = pa.array([g[1] for g in got], pa.list_(pa.struct([("digest", pa.string()), ("mime", pa.string()), ("payload", pa.binary())])))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), seg, inline], ["_rid", "_k", "_url", "segs", "inline"])
 
-    rows = pages.select(F.monotonically_increasing_id().alias("_rid"), F.col(key).alias("_k"), F.col(url).alias("_url"), F.col(html).alias("_html"))
+    rows = pages.select(F.monotonically_increasing_id().alias("_rid"), quoted(key).alias("_k"), quoted(url).alias("_url"), quoted(html).alias("_html"))
     p = materialize(rows.mapInArrow(run, f"_rid long, _k {kind}, _url string, segs array<{SEGMENT}>, inline array<struct<digest:string, mime:string, payload:binary>>"), "segments")
     n_media = F.size(F.filter("segs", lambda x: x["kind"].isNotNull()))
     p = p.withColumn("n_media", n_media)
@@ -223,7 +225,8 @@ def sequences(pages: DataFrame, store: DataFrame | None = None, *, key: str = "p
     known = p.select(F.explode("inline").alias("x")).select("x.*")
     if store is not None:
         known = known.unionAll(store.where("url IS NOT NULL").select(F.sha2("url", 256), "mime", "payload"))
-    known = known.groupBy("digest").agg(F.min(F.struct("mime", "payload")).alias("v"))
+    # of what the store holds, only what is referred to is moved
+    known = known.join(refs.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("mime", "payload")).alias("v"))
     found = refs.join(known, "digest").groupBy("_rid").agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("found"))
     # pages without media needn't be moved
     some = p.where("n_media > 0").join(found, "_rid", "left")
@@ -231,4 +234,5 @@ def sequences(pages: DataFrame, store: DataFrame | None = None, *, key: str = "p
     out = some.select(*rest.columns).unionAll(rest)
     hit = lambda x: F.try_element_at("found", x["pos"])
     media = F.transform("segs", lambda x: F.when(x["kind"].isNotNull(), F.struct(x["kind"].alias("kind"), x["url"].alias("url"), x["alt"].alias("alt"), x["caption"].alias("caption"), x["digest"].alias("digest"), hit(x)["mime"].alias("mime"), hit(x)["payload"].alias("payload"))))
-    return out.select(F.col("_k").alias(key), F.col("_url").alias(url), (F.size("segs") - F.col("n_media")).alias("n_text"), "n_media", F.transform("segs", lambda x: x["text"]).alias("texts"), media.alias("media"))
+    out = out.select("_k", "_url", (F.size("segs") - F.col("n_media")).alias("n_text"), "n_media", F.transform("segs", lambda x: x["text"]).alias("texts"), media.alias("media"))
+    return out.toDF(*unused([], key, url, *out.columns[2:]))

@@ -35,15 +35,15 @@ def op5_simhash_dedup(spark, sf_dir):
 
 
 def op6_quality_rules(spark, sf_dir):
-    return rules.apply_policies(rules.ledger(_t(spark, sf_dir, "documents")))
+    return rules.apply_policies(rules.stored_ledger(_t(spark, sf_dir, "documents"), f"{sf_dir}/documents"))
 
 
 def quality_rule_ablations(spark, sf_dir):
-    return rules.ablations(rules.ledger(_t(spark, sf_dir, "documents")))
+    return rules.ablations(rules.stored_ledger(_t(spark, sf_dir, "documents"), f"{sf_dir}/documents"))
 
 
 def op7_url_filters(spark, sf_dir):
-    return urls.decide(_t(spark, sf_dir, "pages"), tracking=urls.TRACKING)
+    return urls.decide(_t(spark, sf_dir, "pages"))
 
 
 def op8_token_binary(spark, sf_dir):

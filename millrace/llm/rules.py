@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.names import beside, quoted
 from millrace.llm.features import STATS, TextStats
+from millrace.plans.scratch import discard, materialize
 
 #: (bit, name, SQL condition under which a document fails). Bits are never reused: a changed rule gets a new one.
 RULES = (
@@ -49,18 +51,33 @@ def policy_masks() -> dict[str, int]:
 
 
 def ledger(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, the measurements and fail_bits for every row. A null or empty text measures 0 throughout and fails `empty` and `too_few_words`."""
+    """key, the measurements and fail_bits for every row. A null or empty text measures 0 throughout and fails `empty` and `too_few_words`; repeated rows have equal entries. A column that is called like the key gets an underscore."""
+    m = docs.select(quoted(key).alias("_k"), quoted(text).alias("_text")).mapInArrow(_measure, f"_k {docs.schema[key].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in STATS))
+    bits = " | ".join(f"IF({cond}, {1 << bit}L, 0L)" for bit, _, cond in RULES)
+    return beside(m.withColumn("fail_bits", F.expr(bits)), "_k", key, [*STATS, "fail_bits"])
 
-    def run(batches):
-        f = TextStats()
-        for b in batches:
-            a = np.array([f(t) for t in b.column(1).to_pylist()], np.int64).reshape(-1, len(STATS))
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, np.ascontiguousarray(a.T))], names=[key, *STATS])
 
-    kind = docs.schema[key].dataType.simpleString()
-    m = docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{c} long" for c in STATS))
-    bits = " | ".join(f"IF({cond}, {1 << bit}L, 0L)" for bit, _, cond in RULES)
-    return m.withColumn("fail_bits", F.expr(bits))
+def _measure(batches):
+    f = TextStats()
+    for b in batches:
+        a = np.array([f(t) for t in b.column(1).to_pylist()], np.int64).reshape(-1, len(STATS))
+        yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, np.ascontiguousarray(a.T))], names=["_k", *STATS])
+
+
+_stored: dict[tuple[str, str], DataFrame] = {}
+
+
+def stored_ledger(docs: DataFrame, name: str, **options) -> DataFrame:
+    """The ledger of `docs` as a written table. In one application a ledger is written once under a name; whoever asks again for that name reads it and not the texts. forget() ends that."""
+    at = docs.sparkSession.sparkContext.applicationId, name
+    if at not in _stored:
+        _stored[at] = materialize(ledger(docs, **options), "ledger")
+    return _stored[at]
+
+
+def forget(docs: DataFrame, name: str) -> None:
+    """Delete the ledger stored under a name, because the texts have changed or nothing reads it any more."""
+    discard(_stored.pop((docs.sparkSession.sparkContext.applicationId, name), None))
 
 
 def apply_policies(led: DataFrame, masks: dict[str, int] | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ _GRID = ", ".join(f"('{p}', '{name}', {m}, {1 << bit})" for p, m in _MASKS.items
 
 
 def _url_host(c: str) -> str:
-    return rf"regexp_replace(regexp_extract(lower({c}), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^(www|m)\.|:[0-9]+$', '', 'g')"
+    return rf"regexp_replace(regexp_extract(lower({c}), '^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/?#@]*)', 1), '^(www|m)\.|\.?(:[0-9]*)?$', '', 'g')"
 
 
 def _normal(c: str) -> str:
@@ -51,7 +51,7 @@ WITH RECURSIVE p AS (
     regexp_extract(regexp_extract(html, '(?is)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) AS canon,
     regexp_extract(html, '(?is)<meta\b[^>]*http-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1) AS fresh,
     regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS root
-  FROM pages),
+  FROM (SELECT page_id, url, regexp_replace(html, '(?is)<!--.*?(?:-->|\z)|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<title\b.*?</title\s*>', ' ', 'g') AS html FROM pages)),
 links AS (SELECT normal, root, unnest([canon, fresh]) AS t FROM p),
 absolute AS (
   SELECT normal, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN root || t END AS u

@@ -7,14 +7,18 @@ components. A block rule that hits any alias blocks them all; an allow rule that
 from __future__ import annotations
 
 import re
+import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
-from urllib.parse import urljoin, urlsplit
+from urllib.parse import unquote, urljoin, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from millrace.functions.names import quoted, unused
 from millrace.llm.components import connected_components
 from millrace.plans.scratch import materialize
 
@@ -22,28 +26,70 @@ from millrace.plans.scratch import materialize
 BLOCK_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com", "casino-win.example.net")
 BLOCK_PATHS = (r"/(casino|viagra|xxx)(/|$)",)
 ALLOW_URLS = ("spam-farm.example.org/en/about", "cheap-pills.example.com/en/450")
-#: Parameters that say how a page was reached. In the given URLs page and ref are such decoration; elsewhere they may name
-#: another page, so only the registered query removes them.
-TRACKING = r"(utm_[a-z]+|ref|fbclid|gclid|page)"
-TRACKING_ONLY = r"(utm_[a-z]+|fbclid|gclid)"
+#: Parameters that say how a page was reached, not which it is.
+TRACKING = r"(utm_[a-z]+|fbclid|gclid)"
+_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:[/\\]{2}([^/?#\\]*)([^?#]*)(?:\?([^#]*))?", re.S)
+_TRIM = re.compile(r"[\t\n\r]+|^[\x00-\x20]+|[\x00-\x20]+$")
+_ESCAPE = re.compile(r"%([0-9A-Fa-f]{2})")
+_PLAIN = frozenset(map(ord, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"))
+#: What can't hold a page's links: comments and elements whose content is text.
+_OFF = r"(?is)<!--.*?(?:-->|\z)|<(script|style|textarea|title|xmp|noframes|template)\b.*?(?:</\1\s*>|\z)"
 _TAGS = r"(?is)<(?:base|link|meta)\b(?:(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+>)"
 _TAG = re.compile(r"<(\w+)(.*)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'<>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|[\"']?([^\s\"'>]++)))?")
 _REFRESH = re.compile(r"\s*(?:[0-9.]+(?:\s*[;,]|\s)\s*(?:url\s*=\s*)?|url\s*=\s*)(?:\"([^\"]*)|'([^']*)|(.*))", re.S | re.I)
 
 
-def host(url: Column) -> Column:
-    return F.regexp_replace(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), r"^(www|m)\.|:[0-9]+$", "")
+@lru_cache(100_000)
+def host(authority: str) -> str:
+    """The host of an authority as browsers take it: without user, port and last dot, unescaped, in small letters, other alphabets in their ASCII form; without www. or m. before it."""
+    h = unicodedata.normalize("NFKC", unquote(authority.rpartition("@")[2])).lower()
+    h = re.sub(r":[0-9]*$", "", re.sub(r"[\u3002\uff61]", ".", h)).rstrip(".")
+    if not h.isascii():
+        try:
+            h = h.encode("idna").decode()
+        except UnicodeError:
+            pass
+    return re.sub(r"^(www|m)\.", "", h)
+
+
+def _unescape(text: str) -> str:
+    """Escapes of letters, digits and -._~ undone, others in capitals: they mean the same."""
+    return _ESCAPE.sub(lambda m: chr(c) if (c := int(m[1], 16)) in _PLAIN else m[0].upper(), text) if "%" in text else text
+
+
+def _path(path: str) -> str:
+    path = _unescape(path.replace("\\", "/"))
+    if "/." in path:
+        out: list[str] = []
+        for part in path.split("/")[1:]:
+            if part == "..":
+                out[-1:] = []
+            elif part != ".":
+                out.append(part)
+        path = "/" + "/".join(out) + ("/" if path.endswith(("/.", "/..")) and out else "")
+    return re.sub(r"(\.html?)?/?$", "", path, count=1)
+
+
+def normal(url: str | None, tracking: re.Pattern) -> str | None:
+    """Host and path without scheme, www. or m., user, port, fragment, tracking parameters, .html and a last slash; None for what has no scheme and host."""
+    m = _URL.match(_TRIM.sub("", url or ""))
+    if not m or not (h := host(m[1])):
+        return None
+    kept = [x for x in _unescape(m[3] or "").split("&") if x and not tracking.fullmatch(x.partition("=")[0])]
+    return h + _path(m[2]) + ("?" + "&".join(kept) if kept else "")
+
+
+def normal_form(tracking: str = TRACKING):
+    """A column function: URL -> its normal form."""
+    pattern = re.compile(tracking)
 
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield pa.array([normal(u, pattern) for u in b.to_pylist()], pa.string())
 
-def normal_form(url: Column, tracking: str = TRACKING_ONLY) -> Column:
-    """Host and path without scheme, www. or m., port, fragment, tracking parameters, .html and a last slash; null for what has no scheme and host."""
-    rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    path = F.regexp_replace(rest, r"(\.html?)?/?$", "")
-    query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    kept = F.regexp_replace(F.regexp_replace(query, rf"(^|&){tracking}=[^&]*", ""), r"^&", "")
-    h = host(url)
-    return F.when(h != "", F.concat(h, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
+    return run
 
 
 def resolve(base: str | None, to: str) -> str | None:
@@ -88,38 +134,55 @@ def _targets(url: pa.Array, tags: pa.Array) -> pa.Array:
 
 
 def link_tags(html: Column) -> Column:
-    """The base, link and meta tags of a page that has a canonical link or a meta refresh, else null."""
-    tags = F.filter(F.regexp_extract_all(html, F.lit(_TAGS), F.lit(0)), lambda t: t.rlike(r"(?i)^<base|canonical|refresh"))
+    """The base, link and meta tags of a page that has a canonical link or a meta refresh, else null; those in comments and scripts don't count."""
+    tags = F.filter(F.regexp_extract_all(F.regexp_replace(html, _OFF, " "), F.lit(_TAGS), F.lit(0)), lambda t: t.rlike(r"(?i)^<base|canonical|refresh"))
     return F.when(html.rlike(r"(?i)canonical|refresh"), tags)
 
 
-def decide(pages: DataFrame, redirects: DataFrame | None = None, *, key: str = "page_id", url: str = "url", html: str = "html", block_hosts=BLOCK_HOSTS, block_paths=BLOCK_PATHS, allow_urls=ALLOW_URLS, tracking: str = TRACKING_ONLY) -> DataFrame:
+def _rules(spark: SparkSession, rules, name: str) -> DataFrame:
+    """A rule list as a table of one column, distinct: a table's first column, or the strings themselves."""
+    if isinstance(rules, DataFrame):
+        rules = rules.select(quoted(rules.columns[0]).alias(name)).where(F.col(name).isNotNull())
+    else:
+        rules = spark.createDataFrame([(r,) for r in rules], f"{name} string")
+    return rules.distinct()
+
+
+def decide(pages: DataFrame, redirects: DataFrame | None = None, *, key: str = "page_id", url: str = "url", html: str = "html", block_hosts=BLOCK_HOSTS, block_paths=BLOCK_PATHS, allow_urls=ALLOW_URLS, tracking: str = TRACKING) -> DataFrame:
     """key, url, normal, component, blocked_self, allowed_self, verdict for every row of `pages`.
 
-    `tracking` matches the names of parameters that the normal form leaves out. `redirects` (src, dst) are absolute URLs, in any number of hops. verdict: 'allow' (a rule allows the URL's normal
-    form), 'block' (a rule blocks one of its aliases, itself among them), else 'pass'. Rows without a usable URL pass;
-    null rows, repeated rows and links to oneself are harmless; links relative to the page resolve against its URL or its base element's.
+    block_hosts (which block their subdomains too) and allow_urls (normal forms) are lists of strings or tables of any
+    size, whose first column counts: they are joined, hosts by each of their suffixes. block_paths are a few patterns.
+    `tracking` matches the whole names of parameters that the normal form leaves out. `redirects` (src, dst) are absolute
+    URLs, in any number of hops. verdict: 'allow' (a rule allows the URL's normal form), 'block' (a rule blocks one of
+    its aliases, itself among them), else 'pass'. Rows without a usable URL pass, with null in normal and component; null
+    rows, repeated rows and links to oneself are harmless; links relative to the page resolve against its URL or its base
+    element's. A column that is called like the key or the URL gets an underscore.
     """
-    p = pages.select(F.col(key).alias("k"), F.col(url).alias("url"), normal_form(F.col(url), tracking).alias("normal"), link_tags(F.col(html)).alias("tags"))
-    p = materialize(p, "urls")
+    spark, form = pages.sparkSession, normal_form(tracking)
+    p = materialize(pages.select(quoted(key).alias("k"), quoted(url).alias("url"), form(quoted(url)).alias("normal"), link_tags(quoted(html)).alias("tags")), "urls")
     links = p.where("size(tags) > 0").select("normal", F.explode(_targets("url", "tags")).alias("to"))
-    edges = links.select(F.col("normal").alias("src"), normal_form(F.col("to"), tracking).alias("dst"))
+    edges = links.select(F.col("normal").alias("src"), form(F.col("to")).alias("dst"))
     if redirects is not None:
-        edges = edges.unionAll(redirects.select(normal_form(F.col("src"), tracking), normal_form(F.col("dst"), tracking)))
-    edges = edges.where("src != dst")
+        edges = edges.unionAll(redirects.select(form(F.col("src")), form(F.col("dst"))))
+    edges = materialize(edges.where("src <> dst"), "aliases")
     comp = connected_components(edges)
     nodes = p.select("normal").unionAll(edges.select("src")).unionAll(edges.select("dst")).where("normal IS NOT NULL").distinct()
     nodes = nodes.join(comp, nodes["normal"] == comp["node"], "left").select("normal", F.coalesce("component", "normal").alias("component"))
-    h = F.regexp_extract("normal", r"^([^/?]*)", 1)
-    rest = F.expr("substring(normal, length(regexp_extract(normal, '^([^/?]*)', 1)) + 1)")
-    bad = F.lit(False)
-    for b in block_hosts:
-        bad = bad | (h == b) | h.endswith("." + b)
+    nodes = nodes.withColumn("host", F.regexp_extract("normal", r"^([^/?]*)", 1))
+    rest = F.expr("substring(normal, length(host) + 1)")
+    by_path = F.lit(False)
     for r in block_paths:
-        bad = bad | rest.rlike(r)
-    nodes = nodes.withColumn("blocked_self", bad).withColumn("allowed_self", F.col("normal").isin(*allow_urls) if allow_urls else F.lit(False))
+        by_path = by_path | rest.rlike(r)
+    parts = F.split("host", r"\.")
+    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("suffix")
+    bad_hosts = nodes.select("host").distinct().select("host", suffix).join(_rules(spark, block_hosts, "suffix"), "suffix", "left_semi").select("host").distinct()
+    nodes = nodes.join(bad_hosts.withColumn("bad", F.lit(True)), "host", "left").withColumn("blocked_self", F.coalesce("bad", F.lit(False)) | by_path)
+    allowed = _rules(spark, allow_urls, "normal").withColumn("allowed", F.lit(True))
+    nodes = materialize(nodes.join(allowed, "normal", "left").select("normal", "component", "blocked_self", F.coalesce("allowed", F.lit(False)).alias("allowed_self")), "nodes")
     hit = nodes.where("blocked_self").select(F.col("component").alias("bad_component")).distinct()
     nodes = nodes.join(hit, nodes["component"] == hit["bad_component"], "left")
     nodes = nodes.select(F.col("normal").alias("_n"), "component", "blocked_self", "allowed_self", F.when(F.col("allowed_self"), "allow").when(F.col("bad_component").isNotNull(), "block").otherwise("pass").alias("verdict"))
     out = p.join(nodes, p["normal"] == nodes["_n"], "left")
-    return out.select(F.col("k").alias(key), F.col("url").alias(url), "normal", "component", F.coalesce("blocked_self", F.lit(False)).alias("blocked_self"), F.coalesce("allowed_self", F.lit(False)).alias("allowed_self"), F.coalesce("verdict", F.lit("pass")).alias("verdict"))
+    out = out.select("k", "url", "normal", "component", F.coalesce("blocked_self", F.lit(False)).alias("blocked_self"), F.coalesce("allowed_self", F.lit(False)).alias("allowed_self"), F.coalesce("verdict", F.lit("pass")).alias("verdict"))
+    return out.toDF(*unused([], key, url, *out.columns[2:]))

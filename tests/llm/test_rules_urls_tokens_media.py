@@ -1,8 +1,14 @@
 import hashlib
+import random
+import re
+import shutil
 from collections import Counter
+from html.parser import HTMLParser
+from urllib.parse import unquote, urljoin, urlsplit
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import media, queries, rules, tokens, urls
 from tests.llm.fixtures import LONG, awkward, documents
@@ -105,7 +111,75 @@ def test_pages_of_a_list_are_no_aliases(spark):
     rows = [(i, f"http://l.example/list?{q}", "", "", "") for i, q in enumerate(("page=1", "page=2&utm_source=x", "ref=3", "page=2"))]
     args = {"block_hosts": (), "block_paths": (r"page=2$",), "allow_urls": ("l.example/list?page=1",)}
     assert [v for _, (v, _) in sorted(verdicts(urls.decide(page(spark, rows), **args)).items())] == ["allow", "block", "pass", "block"]
-    assert len({c for _, c in verdicts(urls.decide(page(spark, rows), tracking=urls.TRACKING)).values()}) == 1
+    assert len({c for _, c in verdicts(urls.decide(page(spark, rows), tracking="ref|page|" + urls.TRACKING)).values()}) == 1
+
+
+def odd_urls():
+    """Some hundred URLs of which each is to mean what urllib makes of it."""
+    hosts = ["bad.example", "BAD.example", "user@bad.example", "u:p@bad.example", "bad.example:8080", "u@bad.example:80", "bad.example.", "bad.example.:443", "www.bad.example", "b%61d.example", "bücher.example", "xn--bcher-kva.example", "Bücher.Example.", "a@b@bad.example", "sub.bad.example", "notbad.example", "192.0.2.1", "[2001:db8::1]:80"]
+    paths = ["", "/", "/a", "/a/", "/a/index.html", "/a/./b", "/a/../b", "/../b", "/%61", "/a%2fb", "/a%2Fb", "/a b", "/a.htm", "//a"]
+    queries = ["", "?x=1", "?page=2", "?utm_source=q", "?utm_source=q&x=1&gclid=3", "?x=1#f", "#f", "?"]
+    return [f"{s}://{h}{p}{q}" for k, h in enumerate(hosts) for i, p in enumerate(paths) for j, q in enumerate(queries) if (i + j + k) % 3 == 0 for s in (("http", "https", "HTTP")[i % 3],)]
+
+
+def by_urllib(url):
+    x = urlsplit(url)
+    host = unquote(x.hostname or "").rstrip(".").lower()
+    host = host if host.isascii() else host.encode("idna").decode()
+    host = f"[{host}]" if ":" in host else host
+    host = host.removeprefix("www.")
+    plain = lambda t: re.sub("%[0-9A-Fa-f]{2}", lambda m: c if re.fullmatch("[A-Za-z0-9._~-]", c := unquote(m[0])) else m[0].upper(), t)
+    path = plain(x.path)
+    if "/." in path:
+        path = urlsplit(urljoin("http://h", path)).path
+    path = path.removesuffix("/") if path.endswith("/") else path
+    for end in (".html", ".htm"):
+        path = path.removesuffix(end)
+    keep = [q for q in plain(x.query).split("&") if q and q.split("=")[0] not in ("utm_source", "gclid")]
+    return host + path + ("?" + "&".join(keep) if keep else "")
+
+
+def test_normal_forms_are_those_of_urllib():
+    every = odd_urls()
+    assert len(every) > 500
+    pattern = re.compile(urls.TRACKING)
+    for u in every:
+        assert urls.normal(u, pattern) == by_urllib(u), u
+    for u, want in {
+        "http:\\\\bad.example\\x": "bad.example/x", " http://bad.example/x\n": "bad.example/x", "ht\ttp://bad.exa\nmple/x": "bad.example/x", "http://bad\u3002example/x": "bad.example/x",
+        "http://ｂａｄ.example/x": "bad.example/x", "mailto:a@b": None, "//bad.example/x": None, "": None, None: None, "http://": None, "http:///x": None, "http://@/x": None,
+    }.items():
+        assert urls.normal(u, pattern) == want, u
+
+
+def test_no_spelling_slips_past_a_block(spark):
+    same = [u for u in odd_urls() if re.fullmatch(r"(www\.|sub\.)?bad\.example", by_urllib(u).split("/")[0].split("?")[0])]
+    rows = [(i, u, "", "", "") for i, u in enumerate(same)] + [(100_000 + i, u, "", "", "") for i, u in enumerate(odd_urls()) if "notbad" in u or "192" in u]
+    got = verdicts(urls.decide(page(spark, rows), block_hosts=("bad.example",), block_paths=(), allow_urls=()))
+    assert len(same) > 200 and all(got[i][0] == "block" for i in range(len(same))) and {v for i, (v, _) in got.items() if i >= 100_000} == {"pass"}
+
+
+def test_links_in_comments_and_scripts_make_no_alias(spark):
+    link = "<link rel=canonical href='http://bad.example/x'>"
+    pages = [f"<!-- {link} -->", f"<script>var a = \"{link}\"</script>", f"<style>{link}</style>", f"<!-- {link}", f"<TITLE>{link}</TITLE>", f"<textarea>{link}", f"<!-- a --><!-- b -->{link}<!-- c -->"]
+    got = verdicts(urls.decide(page(spark, [(i, f"http://p{i}.example/", h, "", "") for i, h in enumerate(pages)]), block_hosts=("bad.example",), allow_urls=()))
+    assert [got[i][0] for i in range(7)] == ["pass"] * 6 + ["block"]
+
+
+def test_rules_may_be_tables_of_any_size(spark):
+    rows = [(i, f"http://s{i % 3}.h{i}.example/p{i}", "", "", "") for i in range(200)]
+    hosts = spark.range(0, 100_000, 2).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".example")).alias("h"), F.lit(1).alias("x"))
+    allow = spark.range(0, 200, 10).select(F.concat_ws("", F.lit("s"), (F.col("id") % 3).cast("string"), F.lit(".h"), F.col("id").cast("string"), F.lit(".example/p"), F.col("id").cast("string")).alias("u"))
+    got = verdicts(urls.decide(page(spark, rows), block_hosts=hosts.unionAll(hosts), block_paths=(), allow_urls=allow))
+    assert [got[i][0] for i in range(200)] == ["allow" if i % 10 == 0 else "block" if i % 2 == 0 else "pass" for i in range(200)]
+
+
+def test_awkward_pages_and_names(spark):
+    long = "<p>text</p>" * 200_000
+    rows = [(1, "http://a.example/", long + "<link rel=canonical href=//b.example/>", None, ""), (2, "http://b.example/", "<" * 100_000 + "canonical", "", ""), (3, "http://c.example/", "<link rel=canonical href='" + "x" * 100_000, "", ""), (None, None, None, None, None)]
+    got = urls.decide(page(spark, rows).toDF("normal", "verdict", "component", "k", "host"), key="normal", url="verdict", html="component", block_hosts=("a.example",), allow_urls=())
+    assert got.columns == ["normal", "verdict", "normal_", "component", "blocked_self", "allowed_self", "verdict_"]
+    assert {r.normal: r.verdict_ for r in got.collect()} == {1: "block", 2: "block", 3: "pass", None: "pass"}
 
 
 def test_a_long_chain_of_redirects_is_one_component(spark):
@@ -116,6 +190,23 @@ def test_a_long_chain_of_redirects_is_one_component(spark):
     assert all(v == "block" for i, (v, _) in got.items() if i != 3)
 
 
+# the ledger is stored
+
+
+def test_the_ledger_is_written_once_and_read_for_every_policy(spark, tmp_path):
+    docs = awkward(spark)
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    led = rules.stored_ledger(docs, str(tmp_path))
+    want = sorted(map(str, rules.ablations(rules.ledger(docs)).collect()))
+    shutil.rmtree(f"{tmp_path}/docs")  # the texts are gone, the ledger isn't
+    assert sorted(map(str, rules.ablations(rules.stored_ledger(docs, str(tmp_path))).collect())) == want
+    assert rules.stored_ledger(docs, str(tmp_path)) is led and rules.apply_policies(led).count() == 13
+    rules.forget(docs, str(tmp_path))
+    assert (spark.sparkContext.applicationId, str(tmp_path)) not in rules._stored
+    assert rules.ledger(awkward(spark).withColumnRenamed("doc_id", "n_words"), key="n_words").columns[:2] == ["n_words", "n_words_"]
+
+
 # token ids
 
 
@@ -235,6 +326,69 @@ def test_media_of_awkward_rows(spark):
     assert [r.texts for r in got if r.page_id == 3] == [["a", "b"]] * 2
     assert next(r.n_media for r in got if r.page_id is None) == 3000
     assert media.sequences(pages.where("page_id < 0")).count() == 0
+    named = pages.toDF("media", "texts", "html", "found")
+    got = media.sequences(named, key="media", url="texts")
+    assert got.columns == ["media", "texts", "n_text", "n_media", "texts_", "media_"] and got.count() == 8
+
+
+class Walker(HTMLParser):
+    """The texts and media of plain pages, by the standard library's parser."""
+
+    def __init__(self, base):
+        super().__init__()
+        self.base, self.out, self.buf, self.off = base, [], [], 0
+
+    def flush(self):
+        t = " ".join("".join(self.buf).split())
+        self.buf = []
+        if t:
+            self.out.append(t)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "head", "template"):
+            self.off += 1
+        if tag not in media._INLINE and not self.off:
+            self.flush()
+        if tag == "img" and dict(attrs).get("src"):
+            self.out.append(("image", urljoin(self.base, dict(attrs)["src"])))
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style", "head", "template"):
+            self.off -= 1
+        elif tag not in media._INLINE and not self.off:
+            self.flush()
+
+    def handle_data(self, data):
+        if not self.off:
+            self.buf.append(data)
+
+
+def test_sequences_are_what_another_parser_sees(spark, sf_dir):
+    pages = [(p.page_id, p.url, p.html) for p in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    r = random.Random(2)
+    parts = ["<p>one <b>two</b> &amp; three</p>", "<img src='/i{}.png' alt=x>", "<div>four<img src=j{}.png>five</div>", "<ul><li>six<li>se<i>ven</i></ul>", "<!-- <img src=no.png> -->", "<script>if (a < b) '<img src=no.png>'</script>", " bare &lt;text&gt; ", "<h1>T&eacute;te</h1>"]
+    pages += [(10**6 + i, f"http://h{i}.example/d/p.html", "<html><head><title>no</title></head><body>" + "".join(r.choice(parts).format(r.randrange(9)) for _ in range(30)) + "</body></html>") for i in range(300)]
+    got = {x.page_id: x for x in media.sequences(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i, url, html in pages:
+        w = Walker(url)
+        w.feed(html)
+        w.close()
+        w.flush()
+        assert [t if t is not None else (m.kind, m.url) for t, m in zip(got[i].texts, got[i].media)] == w.out, i
+
+
+def test_ten_thousand_pages_with_media_of_every_form(spark):
+    """Payloads resolve by digest, also where a third of all references name one image."""
+    html = "concat('<html><head><title>t</title><p>a', id, '<picture><source srcset=\"s', id % 7, '.png 1x, l', id % 7, '.png 2x\"><img alt=q></picture><noscript><img src=n', id, '.png></noscript><img src=/hot.png>', if(id % 5 = 0, '<img src=\"data:text/plain;base64,aGk=\">', ''))"
+    pages = spark.range(10_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.example/d/"), F.col("id").cast("string")).alias("url"), F.expr(html).alias("html"))
+    store = spark.range(20_000).select(F.concat(F.lit("http://h.example/d/n"), F.col("id").cast("string"), F.lit(".png")).alias("url"), F.lit("image/png").alias("mime"), F.col("id").cast("string").cast("binary").alias("payload"))
+    store = store.unionAll(spark.createDataFrame([("http://h.example/hot.png", "image/png", b"hot")], store.schema))
+    got = media.sequences(pages, store).select("page_id", "texts", F.explode("media").alias("m")).where("m IS NOT NULL").select("page_id", "m.url", "m.payload", "texts").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.page_id, []).append((r.url and r.url.rsplit("/", 1)[1], r.payload and bytes(r.payload)))
+        assert r.texts[0] == f"a{r.page_id}"
+    assert all(by[i] == [(f"l{i % 7}.png", None), (f"n{i}.png", str(i).encode()), ("hot.png", b"hot")] + [(None, b"hi")] * (i % 5 == 0) for i in range(10_000))
 
 
 def test_the_media_query_keeps_every_page(spark, sf_dir):
