@@ -80,14 +80,14 @@ def resume_anti(spark, sf_dir):
     return readers.resume(d, ledger).drop("hash_id")
 
 
-@query("SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 10")
+@query("SELECT doc_id, n_chars, md5(concat('{\"doc_id\":', doc_id, ',\"n_chars\":', n_chars, '}')) AS hash_id FROM documents ORDER BY hash_id LIMIT 10")
 def debug_limit(spark, sf_dir):
-    return docs(spark, sf_dir, "doc_id", "n_chars").orderBy("doc_id").limit(10)
+    return readers.FileReader(path=f"{sf_dir}/documents.parquet", schema="doc_id long, n_chars long", debug=True).load(spark)
 
 
-@query("SELECT doc_id FROM documents ORDER BY md5(concat(doc_id, '|7')), doc_id LIMIT 25")
+@query("SELECT doc_id FROM (SELECT doc_id, md5(concat('{\"doc_id\":', doc_id, '}')) AS h FROM documents) ORDER BY md5(concat(h, '|7')), h LIMIT 25")
 def hash_shuffle_limit(spark, sf_dir):
-    return docs(spark, sf_dir, "doc_id").orderBy(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("|7"))), "doc_id").limit(25)
+    return readers.FileReader(path=f"{sf_dir}/documents.parquet", schema="doc_id long", shuffle=True, seed=7, debug=25).load(spark).select("doc_id")
 
 
 @query("SELECT md5(concat('5|', i)) AS hash_id FROM range(100) t(i)")
@@ -173,14 +173,15 @@ def window_chunks(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.array_max(F.transform(text.window_chunks(F.split("text", "\n"), 3), F.length)).alias("widest"))
 
 
-@query("SELECT doc_id FROM documents WHERE (length(text) - length(replace(text, '...', ''))) / 3 <= 4")
+@query("SELECT doc_id FROM documents WHERE n_chars % 9 <= 4")
 def ellipsis_filter(spark, sf_dir):
-    return text.EllipsisFilter().apply(docs(spark, sf_dir)).select("doc_id")
+    d = docs(spark, sf_dir).withColumn("text", F.concat("text", F.expr("repeat('... ', cast(n_chars % 9 as int))")))
+    return text.EllipsisFilter().apply(d).select("doc_id")
 
 
-@query("SELECT doc_id, length(substr(text, 1, 50000)) AS n FROM documents")
+@query("SELECT doc_id, substr(text, 1, 50000) AS text FROM documents")
 def truncate_chars(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.length(F.substring("text", 1, 50000)).alias("n"))
+    return docs(spark, sf_dir).select("doc_id", judges.truncated(F.col("text"), 50_000).alias("text"))
 
 
 @query()
@@ -194,9 +195,9 @@ def tail_trim(spark, sf_dir):
     return text.TailTrim().apply(docs(spark, sf_dir)).select("doc_id", "text")
 
 
-@query("SELECT doc_id, translate(text, '說話時間', '说话时间') AS text FROM documents")
+@query("SELECT doc_id, concat('说话', lang, '时间: 学会') AS text FROM documents")
 def to_simplified(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", text.to_simplified(F.col("text")).alias("text"))
+    return docs(spark, sf_dir).select("doc_id", text.to_simplified(F.concat(F.lit("說話"), "lang", F.lit("時間: 學會"))).alias("text"))
 
 
 @query("SELECT doc_id, concat('Source ', coalesce(source, ''), ' (', coalesce(lang, ''), '): ', coalesce(text, '')) AS prompt FROM documents")
@@ -218,10 +219,11 @@ def weighted_template(spark, sf_dir):
     return d.select("doc_id", templates.choose(d, ts, F.col("doc_id"), "t")[1].alias("name"))
 
 
-@query("SELECT event_id, json_valid(props) AS ok, json_keys(props::JSON) AS ks FROM events".replace(", json_keys(props::JSON) AS ks", ""))
+@query("SELECT event_id, (props::JSON->>'k')::INT AS k, true AS broken FROM events")
 def json_parse(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", strings.json_reply(F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).isNotNull().alias("ok"))
+    fenced = strings.json_reply(F.concat(F.lit("```json\n"), "props", F.lit("\n```")), "k int")
+    return e.select("event_id", fenced["k"].alias("k"), strings.json_reply(F.concat(F.lit("{broken "), "props")).isNull().alias("broken"))
 
 
 # deduplication
@@ -292,17 +294,29 @@ def rerank_slice(spark, sf_dir):
 # messages, rules, judges
 
 
-@query(f"SELECT conv_id, len(messages) AS n, messages[1].role AS first_role FROM {MESSAGES_SQL}")
+@query("SELECT doc_id, 2 AS n, concat('You know ', source, '.') AS system, concat('Say more in ', lang, '.') AS asked, 'user' AS role FROM documents")
 def messages_build(spark, sf_dir):
-    return conversations(spark, sf_dir).select("conv_id", F.size("messages").alias("n"), F.col("messages")[0]["role"].alias("first_role"))
+    d = docs(spark, sf_dir, "doc_id", "lang", "source")
+    user, system = ([templates.Template(t)] for t in ("Say more in {{ lang }}.", "You know {{ source }}."))
+    m = generate.build_messages(d, "m", user, system, "doc_id", "chat", 0)
+    return m.select("doc_id", F.size("m").alias("n"), F.col("m")[0]["content"].alias("system"), F.col("m")[1]["content"].alias("asked"), F.col("m")[1]["role"].alias("role"))
+
+
+def with_han(c: DataFrame) -> DataFrame:
+    """Conversations of which every second one has a Han sign in each message, and every sixth a simplified one: the tables have none."""
+    said = F.when(F.col("conv_id") % 6 == 0, "国").when(F.col("conv_id") % 2 == 0, "國").otherwise("")
+    return c.withColumn("messages", F.transform("messages", lambda m: F.struct(m["role"].alias("role"), F.concat(m["content"], said).alias("content"))))
 
 
 def _rule(name: str, **kw):
-    return lambda spark, sf_dir: conversations(spark, sf_dir).select("conv_id", judges.RULES[name](**kw).alias("ok"))
+    return lambda spark, sf_dir: with_han(conversations(spark, sf_dir)).select("conv_id", judges.RULES[name](**kw).alias("ok"))
+
+
+_HAN_SQL = "(SELECT conv_id, list_transform(messages, lambda m: {'role': m.role, 'content': m.content || CASE WHEN conv_id % 6 = 0 THEN '国' WHEN conv_id % 2 = 0 THEN '國' ELSE '' END}) AS messages FROM " + MESSAGES_SQL + ")"
 
 
 def _rule_sql(condition: str) -> str:
-    return f"SELECT conv_id, {condition} AS ok FROM {MESSAGES_SQL}"
+    return f"SELECT conv_id, {condition} AS ok FROM {_HAN_SQL}"
 
 
 _ALL = "len(list_filter(messages, lambda m: NOT ({c}))) = 0"
@@ -314,7 +328,7 @@ for _name, _rule_name, _kw, _c in (
 ):
     QUERIES[_name], SQL[_name] = _rule(_rule_name, **_kw), _rule_sql(_c)
 QUERIES["rule_exclusive"] = _rule("user_assistant_exclusive")
-SQL["rule_exclusive"] = f"SELECT conv_id, len(list_filter(range(1, len(t), 2), lambda i: contains(t[i].content, t[i + 1].content) OR contains(t[i + 1].content, t[i].content))) = 0 AS ok FROM (SELECT conv_id, list_filter(messages, lambda m: m.role <> 'system') AS t FROM {MESSAGES_SQL})"
+SQL["rule_exclusive"] = f"SELECT conv_id, len(list_filter(range(1, len(t), 2), lambda i: contains(t[i].content, t[i + 1].content) OR contains(t[i + 1].content, t[i].content))) = 0 AS ok FROM (SELECT conv_id, list_filter(messages, lambda m: m.role <> 'system') AS t FROM {_HAN_SQL})"
 
 
 @query(f"SELECT conv_id FROM {MESSAGES_SQL} WHERE {_ALL.format(c='length(m.content) <= 600')} AND len(messages) >= 4")
@@ -332,18 +346,26 @@ def prefix_rounds(spark, sf_dir):
 _LINES_SQL = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)"
 
 
-@query(f"SELECT doc_id, pos, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS width FROM {_LINES_SQL}")
-def sliding_score(spark, sf_dir):
+#: drop_bad_tail over lines that score their length less 40, in windows of 3 and below a threshold of 0.
+_TAIL_SQL = f"""(SELECT doc_id, pos, line, score, bad FROM (
+  SELECT *, (regexp_matches(line, '(\\.\\.\\.|…)[ \t\x0B\f\r]*$') OR coalesce(score < 0, false)) AS bad,
+    max(CASE WHEN NOT (regexp_matches(line, '(\\.\\.\\.|…)[ \t\x0B\f\r]*$') OR coalesce(score < 0, false)) THEN pos END) OVER (PARTITION BY doc_id) AS last
+  FROM (SELECT *, CASE WHEN pos >= 2 THEN length(line) - 40 END AS score FROM {_LINES_SQL})) WHERE pos <= last)"""
+
+
+def _tail(spark, sf_dir) -> DataFrame:
     lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-2, 0)
-    return lines.select("doc_id", "pos", F.sum(F.length("line")).over(w).alias("width"))
+    return judges.drop_bad_tail(lines, "doc_id", "pos", "line", F.length("line") - 40, 0, 3)
 
 
-@query(f"SELECT doc_id, round(avg(length(line) - 40) FILTER (WHERE length(line) > 40), 6) AS m FROM {_LINES_SQL} GROUP BY doc_id")
+@query(f"SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS kept FROM {_TAIL_SQL} GROUP BY doc_id")
+def sliding_score(spark, sf_dir):
+    return _tail(spark, sf_dir).select("doc_id", F.array_join("kept", "\n").alias("kept"))
+
+
+@query(f"SELECT doc_id, round(avg(score) FILTER (WHERE score > 0), 6) AS m FROM {_TAIL_SQL} GROUP BY doc_id")
 def mean_positive(spark, sf_dir):
-    lines = docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    s = F.length("line") - 40
-    return lines.groupBy("doc_id").agg(F.round(F.avg(F.when(s > 0, s)), 6).alias("m"))
+    return _tail(spark, sf_dir).select("doc_id", F.round("score", 6).alias("m"))
 
 
 @query("SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) % 17 DESC, turn) AS r FROM conversations WHERE length(text) % 17 > 0) WHERE r = 1")
@@ -352,18 +374,25 @@ def best_candidate(spark, sf_dir):
     return generate.best_by_score(c, "conv_id", "turn", "score").select("conv_id", "turn")
 
 
+_UNIT = "(('0x' || substr(md5({x}), 1, 8))::BIGINT / 4294967296.0)"
+
+
 @query()
 def edu_tail(spark, sf_dir):
     d = docs(spark, sf_dir).withColumn("hash_id", F.col("doc_id").cast("string"))
-    return judges.SlidingEduClassifier(threshold=0.0, chunk_size=60).judge(d).select("doc_id", "text", "edu_score")
+    return judges.SlidingEduClassifier(threshold=0.0, chunk_size=60, sliding_window_size=3).judge(d).select("doc_id", "text", "edu_score")
 
 
-@query()
+@query(
+    f"SELECT conv_id, i AS n_round, round({_UNIT.format(x="array_to_string(list_transform(messages[1:least(l + 2 * i, n)], lambda m: m.content), '|')")} * 10 - 5, 6) AS score "
+    f"FROM (SELECT conv_id, messages, n, l, unnest(range(1, greatest((ceil((n - l) / 2))::BIGINT, 1) + 1)) AS i FROM (SELECT *, len(messages) AS n, len(list_filter(messages, lambda m: m.role = 'system')) AS l FROM {MESSAGES_SQL}))"
+)
 def reward_rounds(spark, sf_dir):
-    return judges.RewardJudge().judge(conversations(spark, sf_dir)).select("conv_id", "rm_score")
+    got = judges.RewardJudge().judge(conversations(spark, sf_dir))
+    return got.select("conv_id", F.posexplode("rm_score").alias("n_round", "score")).withColumn("n_round", (F.col("n_round") + 1).cast("long"))
 
 
-@query()
+@query(f"SELECT conv_id, round(exp(avg(5 * {_UNIT.format(x='w')})), 6) AS ppl FROM (SELECT conv_id, unnest(regexp_split_to_array(trim(text, E' \\t\\n\\r'), '\\s+')) AS w FROM conversations) WHERE w <> '' GROUP BY conv_id")
 def perplexity(spark, sf_dir):
     return judges.Perplexity().judge(conversations(spark, sf_dir)).select("conv_id", F.round("ppl", 6).alias("ppl"))
 
@@ -377,10 +406,13 @@ def chat_mock(spark, sf_dir):
     return generate.ChatGenerator(user_template="Summarize: {{ text }}", system_template="Be brief.").apply(d).select("doc_id", "output")
 
 
-@query()
+@query(
+    "SELECT doc_id, 'reason ' || substr(md5('reason|' || q), 1, 8) AS reason, round(" + _UNIT.format(x="q") + " * 5, 3) AS score FROM "
+    "(SELECT doc_id, 'Give the score of this judgement as JSON with reason and score.' || chr(10) || 'reply ' || substr(md5('Rate: ' || text), 1, 12) AS q FROM documents)"
+)
 def judge_mock(spark, sf_dir):
     d = docs(spark, sf_dir).withColumn("hash_id", F.col("doc_id").cast("string"))
-    return judges.LlmAsJudge(judge_template="Rate: {{ text }}").judge(d).select("doc_id", "judge_result")
+    return judges.LlmAsJudge(judge_template="Rate: {{ text }}").judge(d).select("doc_id", "judge_result.reason", "judge_result.score")
 
 
 def _made(op, spark, sf_dir):
@@ -420,9 +452,13 @@ def reject_sampling_mock(spark, sf_dir):
     return generate.RejectSampling(search_space_params={"temperature": [0.2, 0.8]}, num_combinations=3, validator_list=[_length_score], ground_as_candidate=True).apply(c).select("conv_id", "messages")
 
 
-@query(f"SELECT doc_id, floor({U_SQL.format(p='repeat', n=0)} * 7)::INT AS i FROM documents")
+@query(
+    "SELECT doc_id, unnest(list_sort(list_transform(list_sort(list_transform(range(7), lambda i: {'u': (('0x' || substr(md5(concat_ws('|', doc_id::VARCHAR, 'sample', i::VARCHAR, '0')), 1, 8))::BIGINT / 4294967296.0), 'i': i}))[1:3], lambda x: x.i))) AS i FROM documents WHERE doc_id % 2 = 0 "
+    f"UNION ALL SELECT doc_id, unnest([0, 1, floor({U_SQL.format(p='repeat', n=0)} * 2)::INT, floor({U_SQL.format(p='repeat', n=1)} * 2)::INT]) FROM documents WHERE doc_id % 2 = 1"
+)
 def chunk_index_choice(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.floor(uniform(F.col("doc_id"), "repeat") * 7).cast("int").alias("i"))
+    f = lambda r: [{"doc_id": r["doc_id"], "i": i} for i in generate.chunk_indices(*((2, 4) if r["doc_id"] % 2 else (7, 3)), r["doc_id"], 0)]
+    return relational.PythonFunction(func=f, schema="doc_id long, i long").apply(docs(spark, sf_dir, "doc_id"))
 
 
 @query()
@@ -443,9 +479,10 @@ def rollup_revenue(spark, sf_dir):
     return x.rollup("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 def anti_join(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    rich = table(spark, sf_dir, "orders").where("o_totalprice > 200000")
+    return table(spark, sf_dir, "customer").join(rich, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("SELECT r_name, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
@@ -484,9 +521,111 @@ def top_orders(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.rank().over(w).alias("r")).where("r <= 2")
 
 
-@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels WHERE quality = 1")
+@query("SELECT lang, source FROM documents WHERE n_chars > 500 EXCEPT SELECT lang, source FROM documents WHERE n_chars > 6000")
 def set_except(spark, sf_dir):
-    return docs(spark, sf_dir, "doc_id").exceptAll(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
+    d = docs(spark, sf_dir, "lang", "source", "n_chars")
+    return d.where("n_chars > 500").drop("n_chars").subtract(d.where("n_chars > 6000").drop("n_chars"))
+
+
+@query("SELECT lang, source FROM documents WHERE n_chars > 6000 INTERSECT SELECT lang, source FROM documents WHERE n_chars < 500")
+def set_intersect(spark, sf_dir):
+    d = docs(spark, sf_dir, "lang", "source", "n_chars")
+    return d.where("n_chars > 6000").drop("n_chars").intersect(d.where("n_chars < 500").drop("n_chars"))
+
+
+@query("SELECT doc_id, quality FROM labels UNION ALL SELECT item_id, NULL FROM benchmark")
+def set_union_all(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"))
+    return table(spark, sf_dir, "labels").select("doc_id", "quality").unionByName(b, allowMissingColumns=True)
+
+
+@query("SELECT lang FROM documents UNION SELECT source FROM documents")
+def set_union(spark, sf_dir):
+    d = docs(spark, sf_dir, "lang", "source")
+    return d.select("lang").unionAll(d.select(F.col("source").alias("lang"))).distinct()
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube_counts(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_suppkey").alias("suppliers"))
+
+
+@query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS q FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+def grouping_sets(spark, sf_dir):
+    x, (flag, status) = table(spark, sf_dir, "lineitem"), (F.col("l_returnflag"), F.col("l_linestatus"))
+    return x.groupingSets([[flag], [status], []], flag, status).agg(F.sum("l_quantity").alias("q"))
+
+
+@query("SELECT l_returnflag, abs(approx_count_distinct(l_partkey) - count(DISTINCT l_partkey)) < 0.2 * count(DISTINCT l_partkey) AS near FROM lineitem GROUP BY 1")
+def approx_distinct(spark, sf_dir):
+    g = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.countDistinct("l_partkey").alias("n"))
+    return g.select("l_returnflag", (F.abs(F.col("a") - F.col("n")) < 0.2 * F.col("n")).alias("near"))
+
+
+@query("SELECT a.event_id, count(b.event_id) AS n FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 6 hour GROUP BY 1")
+def interval_join(spark, sf_dir):
+    """How many events of the same user follow within six hours: a range frame, which sorts each user's events once where a join would pair them."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    w = Window.partitionBy("user_id").orderBy("t").rangeBetween(1, 6 * 3600 * 10**6)
+    return e.select("event_id", F.count(F.lit(1)).over(w).alias("n"))
+
+
+_BRACKETS = [("small", 0.0, 50_000.0), ("middle", 50_000.0, 150_000.0), ("large", 120_000.0, 400_000.0)]
+
+
+@query("SELECT o_orderkey, b.name FROM orders JOIN (VALUES " + ", ".join(map(str, _BRACKETS)) + ") b(name, lo, hi) ON o_totalprice >= b.lo AND o_totalprice < b.hi")
+def range_join(spark, sf_dir):
+    """Orders by overlapping price brackets; the three brackets of the constant table are broadcast."""
+    b = spark.createDataFrame(_BRACKETS, "name string, lo double, hi double")
+    return table(spark, sf_dir, "orders").join(F.broadcast(b), (F.col("o_totalprice") >= F.col("lo")) & (F.col("o_totalprice") < F.col("hi"))).select("o_orderkey", "name")
+
+
+@query("SELECT event_id, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS since, lead(event_type) OVER w AS next_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def lag_lead(spark, sf_dir):
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, sf_dir, "events").select("event_id", (t - F.lag(t).over(w)).alias("since"), F.lead("event_type").over(w).alias("next_type"))
+
+
+@query("SELECT o_custkey, " + ", ".join(f"count(*) FILTER (WHERE o_orderstatus = '{x}') AS {x}" for x in "FOP") + " FROM orders GROUP BY 1")
+def pivot_status(spark, sf_dir):
+    got = table(spark, sf_dir, "orders").groupBy("o_custkey").pivot("o_orderstatus", list("FOP")).agg(F.count(F.lit(1)))
+    return got.na.fill(0, list("FOP"))
+
+
+@query("SELECT l_orderkey, l_linenumber, what, amount FROM (SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem) UNPIVOT (amount FOR what IN (l_discount, l_tax))")
+def unpivot_rates(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").unpivot(["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"], "what", "amount")
+
+
+@query("SELECT year(o_orderdate)::INT AS y, quarter(o_orderdate)::INT AS q, count(*) AS n, max(date_diff('day', o_orderdate::DATE, last_day(o_orderdate)))::INT AS days_left, strftime(min(o_orderdate + INTERVAL 1 month), '%Y-%m-%d') AS next_month FROM orders GROUP BY ALL")
+def date_functions(spark, sf_dir):
+    d = F.col("o_orderdate").cast("date")
+    g = table(spark, sf_dir, "orders").groupBy(F.year(d).alias("y"), F.quarter(d).alias("q"))
+    return g.agg(F.count(F.lit(1)).alias("n"), F.max(F.datediff(F.last_day(d), d)).alias("days_left"), F.date_format(F.min(F.add_months(d, 1)), "yyyy-MM-dd").alias("next_month"))
+
+
+@query(f"SELECT doc_id, lang FROM documents WHERE {U_SQL.format(p='part', n=0)} < CASE lang WHEN 'en' THEN 0.1 ELSE 0.5 END")
+def stratified_sample(spark, sf_dir):
+    d = docs(spark, sf_dir, "doc_id", "lang")
+    return d.where(uniform(F.col("doc_id"), "part") < F.when(F.col("lang") == "en", 0.1).otherwise(0.5))
+
+
+@query("SELECT time_bucket(INTERVAL 10 minute, ts) - to_minutes(CAST(i AS BIGINT) * 10) AS start, event_type, count(*) AS n FROM events, range(3) r(i) GROUP BY ALL")
+def sliding_window(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return ingest.windowed_counts(e, "ts", "event_type", "30 minutes", "10 minutes").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+_SQL_TEXT = "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey HAVING count(*) >= 3) SELECT c_mktsegment, count(*) AS n, round(avg(total), 2) AS mean FROM big JOIN customer ON o_custkey = c_custkey WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) GROUP BY c_mktsegment"
+
+
+@query(_SQL_TEXT)
+def sql_catalog(spark, sf_dir):
+    """SQL text over the tables as views."""
+    for n in ("orders", "customer", "nation"):
+        table(spark, sf_dir, n).createOrReplaceTempView(n)
+    return spark.sql(_SQL_TEXT)
 
 
 @query("SELECT DISTINCT doc_id, lang FROM documents")

@@ -21,7 +21,7 @@ class Backend:
     """Asynchronous calls. `chat` answers messages; `complete` continues a prompt and gives (text, finish reason);
     `score` rates messages; `embed` gives vectors; `rerank` gives scores of documents; `logprobs` those of the tokens."""
 
-    concurrency = 100
+    concurrency, batch_size = 100, 1000
 
     async def chat(self, messages: list[dict], **kw) -> str:
         raise NotImplementedError
@@ -124,10 +124,10 @@ class HttpBackend(Backend):
         return [x["logprob"] for x in got["choices"][0]["logprobs"]["content"]]
 
 
-def gather(tasks: list, limit: int) -> list:
-    """Results in order, at most `limit` at once; an exception becomes the result of its task."""
+def gather(tasks: list, limit: int, size: int | None = None) -> list:
+    """Results in order, at most `limit` at once and `size` begun together; an exception becomes the result of its task."""
 
-    async def all_of():
+    async def all_of(tasks: list):
         gate = asyncio.Semaphore(limit)
 
         async def one(t):
@@ -136,7 +136,11 @@ def gather(tasks: list, limit: int) -> list:
 
         return await asyncio.gather(*map(one, tasks), return_exceptions=True)
 
-    return asyncio.run(all_of())
+    async def in_turn():
+        step = size or len(tasks) or 1
+        return [r for k in range(0, len(tasks), step) for r in await all_of(tasks[k : k + step])]
+
+    return asyncio.run(in_turn())
 
 
 def column_call(backend: Backend, what: str, kind: str, batch: int = 32):
@@ -150,7 +154,7 @@ def column_call(backend: Backend, what: str, kind: str, batch: int = 32):
                 some = [i for i, t in enumerate(rows) if t is not None]
                 parts = [some[k : k + batch] for k in range(0, len(some), batch)]
                 out: list = [None] * len(rows)
-                for part, got in zip(parts, gather([backend.embed([rows[i] for i in p]) for p in parts], backend.concurrency)):
+                for part, got in zip(parts, gather([backend.embed([rows[i] for i in p]) for p in parts], backend.concurrency, backend.batch_size)):
                     for i, v in zip(part, got if not isinstance(got, BaseException) else [None] * len(part)):
                         out[i] = v
             else:
@@ -163,7 +167,7 @@ def column_call(backend: Backend, what: str, kind: str, batch: int = 32):
                         return await backend.rerank(x.get("query") or "", x.get("documents") or [])
                     return await getattr(backend, what)(x)
 
-                out = [None if isinstance(r, BaseException) else r for r in gather([one(t) for t in rows], backend.concurrency)]
+                out = [None if isinstance(r, BaseException) else r for r in gather([one(t) for t in rows], backend.concurrency, backend.batch_size)]
             yield pa.array(out, {"array<float>": pa.list_(pa.float32()), "array<double>": pa.list_(pa.float64()), "double": pa.float64(), "string": pa.string()}[kind])
 
     return run

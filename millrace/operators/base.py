@@ -37,6 +37,8 @@ class Operator:
     """A lazy step from DataFrame to DataFrame. Subclasses say in `required_packages` what they need besides Spark."""
 
     required_packages: tuple[str, ...] = ()
+    #: Where a configuration says so, the number of tasks that rows are dealt to before this step.
+    num_tasks: int | None = None
     #: Names of columns that the step reads and writes, where known; None: any. For reordering in plans.
     pure_filter = False
 

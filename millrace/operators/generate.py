@@ -27,6 +27,17 @@ def draw(row_id, purpose: str, n: int, seed: int) -> float:
     return int(hashlib.md5(f"{row_id}|{purpose}|{n}|{seed}".encode()).hexdigest()[:8], 16) / float(1 << 32)
 
 
+def chosen(ts: list[templates.Template], row_id, purpose: str, n: int, seed: int) -> templates.Template:
+    """The template drawn by weight, as functions.templates.choose does."""
+    total = float(sum(t.weight for t in ts))
+    u, acc = draw(row_id, purpose, n, seed) * total, 0.0
+    for t in ts:
+        acc += t.weight
+        if t.weight > 0 and u < acc:
+            return t
+    return next(t for t in reversed(ts) if t.weight > 0)
+
+
 def build_messages(df: DataFrame, out: str, user, system, row_id: str, purpose: str, seed: int, names: str | None = None) -> DataFrame:
     """An array of a system message, if there is a template for it, and a user message; `names`: column of the template names by role."""
     said, kinds = [], []
@@ -59,7 +70,7 @@ def ask(backend: Backend, retries: int = 3, fields: tuple[str, ...] = (), **kw):
     @F.arrow_udf("struct<content: string, error: string>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            got = gather([one(t) for t in b.to_pylist()], backend.concurrency)
+            got = gather([one(t) for t in b.to_pylist()], backend.concurrency, backend.batch_size)
             yield pa.StructArray.from_arrays([pa.array([g[k] for g in got], pa.string()) for k in (0, 1)], names=["content", "error"])
 
     return run
@@ -92,7 +103,7 @@ class ChatGenerator(Operator):
         return validate_all(df, self.validators) if self.validators else df
 
 
-@register("FedGPTChat")
+@register()
 class HttpChat(ChatGenerator):
     """ChatGenerator against one HTTP service. A row whose calls fail has a null answer. There is no default address."""
 
@@ -141,14 +152,14 @@ class Recipe(Operator):
         raise NotImplementedError
 
     def apply(self, df: DataFrame) -> DataFrame:
-        each, limit, read = self.each, self.backend.concurrency, [c for c in dict.fromkeys((self.id, *self.inputs)) if c in df.columns]
+        each, limit, size, read = self.each, self.backend.concurrency, self.backend.batch_size, [c for c in dict.fromkeys((self.id, *self.inputs)) if c in df.columns]
 
         @F.arrow_udf(f"struct<messages: {MESSAGES}, scores: {SCORES}>")
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             msg = pa.list_(pa.struct([("role", pa.string()), ("content", pa.string())]))
             score = pa.list_(pa.map_(pa.string(), pa.struct([("reason", pa.string()), ("score", pa.float64())])))
             for b in batches:
-                got = gather([each(r) for r in b.to_pylist()], limit)
+                got = gather([each(r) for r in b.to_pylist()], limit, size)
                 got = [None if isinstance(g, BaseException) or g is None else g for g in got]
                 none = pa.array([g is None for g in got])
                 yield pa.StructArray.from_arrays([pa.array([g and g[0] for g in got], msg), pa.array([g and [list(s.items()) for s in g[1]] for g in got], score)], names=["messages", "scores"], mask=none)
@@ -243,7 +254,8 @@ class ContextualMagpie(Magpie):
         picked = [pairs[i] for i in chunk_indices(len(pairs), self.max_turns, row.get(self.id), self.seed)] if self.multi else [row[self.text]] * self.max_turns
         if not picked:
             return None
-        render = lambda c: self.system[0].render(**{k: v for k, v in row.items() if v is not None} | {self.text: c})
+        which = chosen(self.system, row.get(self.id), "magpie", 0, self.seed)
+        render = lambda c: which.render(**{k: v for k, v in row.items() if v is not None} | {self.text: c})
         system, talk, scores = render(picked[0]), [], []
         for k, chunk in enumerate(picked[1:] or picked):
             grown = await self.pair([{"role": "system", "content": system}, *talk], k)
@@ -277,11 +289,11 @@ class DocSelfInstruct(Recipe):
         picked = [wide[i] for i in chunk_indices(len(wide), self.turns, row.get(self.id), self.seed, one_repeat=True)] if self.as_turns else [row[self.text]] * self.turns
         messages, scores = list(row.get(self.out) or []), []
         values = {k: v for k, v in row.items() if v is not None}
-        user = self.multi[0] if self.multi and self.system else self.user[0]
-        for chunk in picked:
+        pick = lambda ts, role, n: chosen(ts, row.get(self.id), f"instruct {role}", n, self.seed)
+        for n, chunk in enumerate(picked):
             scope = values | {self.text: chunk, "messages": messages}
-            prompt = [{"role": "system", "content": self.system[0].render(**scope)}] if self.system else []
-            prompt.append({"role": "user", "content": user.render(**scope)})
+            prompt = [{"role": "system", "content": pick(self.system, "system", n).render(**scope)}] if self.system else []
+            prompt.append({"role": "user", "content": pick(self.multi if self.multi and self.system else self.user, "user", n).render(**scope)})
             for _ in range(max(1, self.retries)):
                 try:
                     got = await self.backend.chat(prompt, **({"response_format": self.fields} if self.fields else {}))
@@ -324,15 +336,15 @@ class PromptEvolver(Recipe):
                 if before and before[-1]["role"] == "user":
                     prompt, before = before[-1]["content"], before[:-1]
                 elif self.first:
-                    prompt = await self.backend.chat([{"role": "user", "content": self.first[0].render(**values)}])
+                    prompt = await self.backend.chat([{"role": "user", "content": chosen(self.first, row.get(self.id), "first", k, self.seed).render(**values)}])
                 else:
                     return None
                 for n in range(times):
-                    t = self.evolve[int(draw(row.get(self.id), f"template {k}", n, self.seed) * len(self.evolve))]
+                    t = chosen(self.evolve, row.get(self.id), f"template {k}", n, self.seed)
                     prompt = await self.backend.chat([{"role": "user", "content": t.render(**values | {"prompt": prompt})}])
                 grown = [*before, {"role": "user", "content": prompt}]
                 if self.respond:
-                    asked = [*before, {"role": "user", "content": self.answer[0].render(**values | {"prompt": prompt})}] if self.answer else grown
+                    asked = [*before, {"role": "user", "content": chosen(self.answer, row.get(self.id), "answer", k, self.seed).render(**values | {"prompt": prompt})}] if self.answer else grown
                     grown = [*grown, {"role": "assistant", "content": await self.backend.chat(asked)}]
             except Exception:  # noqa: BLE001
                 continue

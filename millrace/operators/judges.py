@@ -203,7 +203,7 @@ def _per_prefix(df: DataFrame, messages: str, out: str, backend: Backend) -> Dat
     def run(batches):
         for b in batches:
             rows = [json.loads(x) if x else [] for x in b.to_pylist()]
-            got = gather([backend.score(m) for r in rows for m in r], backend.concurrency)
+            got = gather([backend.score(m) for r in rows for m in r], backend.concurrency, backend.batch_size)
             it = iter([None if isinstance(g, BaseException) else g for g in got])
             yield pa.array([[next(it) for _ in r] for r in rows], pa.list_(pa.float64()))
 
@@ -241,11 +241,17 @@ def drop_bad_tail(df: DataFrame, doc: str, pos: str, text: str, score: Column, t
     return s.groupBy(doc).agg(F.transform(F.array_sort(F.collect_list(F.struct(pos, text))), lambda r: r[text]).alias("kept"), F.avg(F.when(F.col("_score") > 0, F.col("_score"))).alias("score"))
 
 
+def truncated(text: Column, max_chars: int | None) -> Column:
+    return text if max_chars is None else F.substring(text, 1, max_chars)
+
+
 @register("InfinitySlidingWindowEduClassifier")
 class SlidingEduClassifier(JudgePipeline):
-    """Cut a text, score windows of chunks by a backend, drop the bad tail, and give the rest and its mean score."""
+    """Cut a text, score windows of chunks by a backend, drop the bad tail, and give the rest and its mean score.
+
+    The whole text counts; with `max_chars` what is beyond is dropped first and isn't in the result."""
 
-    def setup(self, text_col: str = "text", output_col: str | None = None, score_col: str = "edu_score", threshold: float = 3.5, to_cn: bool = False, chunk_size: int = 500, sliding_window_size: int = 3, tokenizer_path: str | None = None, id_col: str = "hash_id", max_chars: int = 50_000, backend: Backend | None = None, **_):
+    def setup(self, text_col: str = "text", output_col: str | None = None, score_col: str = "edu_score", threshold: float = 3.5, to_cn: bool = False, chunk_size: int = 500, sliding_window_size: int = 100, tokenizer_path: str | None = None, id_col: str = "hash_id", max_chars: int | None = None, backend: Backend | None = None, **_):
         self.text, self.out, self.output_col, self.threshold, self.cn = text_col, output_col or text_col, score_col, threshold, to_cn
         self.size, self.window, self.tokenizer, self.id, self.max, self.backend = chunk_size, sliding_window_size, Tokenizer(tokenizer_path), id_col, max_chars, backend or HashBackend()
 
@@ -254,7 +260,7 @@ class SlidingEduClassifier(JudgePipeline):
 
         t, size = self.tokenizer, self.size
         cut = map_text(lambda x: recursive_split(x, size, 0, t.length), "array<string>")
-        chunks = df.select(F.col(self.id).alias("_doc"), F.posexplode(cut(F.substring(self.text, 1, self.max))).alias("pos", "chunk"))
+        chunks = df.select(F.col(self.id).alias("_doc"), F.posexplode(cut(truncated(F.col(self.text), self.max))).alias("pos", "chunk"))
         joined = F.array_join(F.collect_list("chunk").over(Window.partitionBy("_doc").orderBy("pos").rowsBetween(1 - self.window, 0)), "")
         joined = to_simplified(joined) if self.cn else joined
         ask = F.to_json(F.array(F.struct(F.lit("user").alias("role"), joined.alias("content"))))

@@ -201,13 +201,30 @@ class TailTrim(Operator):
         return df.withColumn(self.out, map_text(lambda x: trim_tail(x, n, t.length), "string")(F.col(self.text)))
 
 
-#: Traditional signs and their simplified forms, by the side of each other. Single signs only; a table may be given.
-TRADITIONAL = "說話時間國學會來個們體點開關書見問這過還發經頭電車長門馬鳥魚風龍氣愛樂灣讓認識實現對從兩進動種業與價麼鯨"
-SIMPLIFIED = "说话时间国学会来个们体点开关书见问这过还发经头电车长门马鸟鱼风龙气爱乐湾让认识实现对从两进动种业与价么鲸"
+#: Traditional signs and their simplified forms, by the side of each other: the common ones whose simplified form isn't
+#: written in traditional texts. Single signs only.
+TRADITIONAL = (
+    "說話時間國學會來們體點開關書見問過還發經頭電車長門馬鳥魚風龍氣愛樂灣讓認識實現對兩進動種業價鯨這為無當樣產機應該難題變歡觀覺聽聲買賣錢銀鐵鋼錯鏡張強彈場塊報壓壞壽夢奪奮婦媽嬰孫寧審寫寶將專尋導屬嶺島嚴"
+    "歲幣帶幫廢廳彎徑憂懷態憑慣慶戰戲戶擁擇擊擔擴攝撥攔敗敵數斷舊暫曆曉條極構槍標樓樹橋檔檢權殺毀歷歸殘決沒況漢溝滅滿漁潔濟濃濕灑灘災烏熱燈燒營爭爺爾牆獎獨獲獻獸環瑪畝畢畫異療瘋盡監盤盧眾矯碼礎禮禍穩窮競筆"
+    "節築簡籃籌籠糧糾紀約紅紋納純紙級紛細紹終組結絕絡給統絲綠維緊緒線緣編緩練縣縮總績織繞繪繳續罰罷羅義習聖聞聯聰職肅腦腳腸膚膽臉臨舉艦艱藝華蓋蔣蕭薩藍藥蘇蘭處虛號蝦衛補裝褲襲規視親覽觸計訂訊討訓記訪設許訴"
+    "診評詞試詩詳誤誰課調談請論諸諾謀謂謊講謝譜譯議護讀貓貝負財貢貧貨販貪責貴貸費貿賀資賊賓賞賠賢賬質賴賺購賽贈贏趕趙趨踐躍軍軌軟較載輔輕輛輝輪輯輸轉轟辦辭農邊遠運達違遙遞遲遷選遺邁郵鄉鄰鄭醫醬釋針釣鈴鉛銅"
+    "銘銷鋪鋒鋸錄錦鍋鍵鎖鎮鏈鑽閃閉閱闊闖隊階際陣陸陽陰險隨隱雖雙雞離雜霧靈靜響頁頂項順預頑頓領頻顆顏願顧顯類飄飛飯飲飽飾餅養餓館駐駕駛騎騙騷驅驗驚驢髒鬧鮮鳳鳴鴨鵝鷹麗麥黃齊齒龜傳傷備債傾億優償儲內冊凍凱則"
+    "剛創劇劍劑勁勞勢勵勸匯區協單卻厲參吳呂員啞啟喪喬嘆嘗嗎囑圍園圓圖團執堅堯塵墊墳壯夠奧妝姦娛嬌寢"
+)
+SIMPLIFIED = (
+    "说话时间国学会来们体点开关书见问过还发经头电车长门马鸟鱼风龙气爱乐湾让认识实现对两进动种业价鲸这为无当样产机应该难题变欢观觉听声买卖钱银铁钢错镜张强弹场块报压坏寿梦夺奋妇妈婴孙宁审写宝将专寻导属岭岛严"
+    "岁币带帮废厅弯径忧怀态凭惯庆战戏户拥择击担扩摄拨拦败敌数断旧暂历晓条极构枪标楼树桥档检权杀毁历归残决没况汉沟灭满渔洁济浓湿洒滩灾乌热灯烧营争爷尔墙奖独获献兽环玛亩毕画异疗疯尽监盘卢众矫码础礼祸稳穷竞笔"
+    "节筑简篮筹笼粮纠纪约红纹纳纯纸级纷细绍终组结绝络给统丝绿维紧绪线缘编缓练县缩总绩织绕绘缴续罚罢罗义习圣闻联聪职肃脑脚肠肤胆脸临举舰艰艺华盖蒋萧萨蓝药苏兰处虚号虾卫补装裤袭规视亲览触计订讯讨训记访设许诉"
+    "诊评词试诗详误谁课调谈请论诸诺谋谓谎讲谢谱译议护读猫贝负财贡贫货贩贪责贵贷费贸贺资贼宾赏赔贤账质赖赚购赛赠赢赶赵趋践跃军轨软较载辅轻辆辉轮辑输转轰办辞农边远运达违遥递迟迁选遗迈邮乡邻郑医酱释针钓铃铅铜"
+    "铭销铺锋锯录锦锅键锁镇链钻闪闭阅阔闯队阶际阵陆阳阴险随隐虽双鸡离杂雾灵静响页顶项顺预顽顿领频颗颜愿顾显类飘飞饭饮饱饰饼养饿馆驻驾驶骑骗骚驱验惊驴脏闹鲜凤鸣鸭鹅鹰丽麦黄齐齿龟传伤备债倾亿优偿储内册冻凯则"
+    "刚创剧剑剂劲劳势励劝汇区协单却厉参吴吕员哑启丧乔叹尝吗嘱围园圆图团执坚尧尘垫坟壮够奥妆奸娱娇寝"
+)
+#: Signs that both writings use, but for which simplified writing also puts them: replaced, but no sign of simplified writing.
+_SHARED_FROM, _SHARED_TO = "個從與麼鐘廠廣復據於煙範網莊萬葉蟲術衝註誇誌證讚豐跡適閒須餘鬆鬱黨兒兇劃勝嚇", "个从与么钟厂广复据于烟范网庄万叶虫术冲注夸志证赞丰迹适闲须余松郁党儿凶划胜吓"
 
 
 def to_simplified(c: Column) -> Column:
-    return F.translate(c, TRADITIONAL, SIMPLIFIED)
+    return F.translate(c, TRADITIONAL + _SHARED_FROM, SIMPLIFIED + _SHARED_TO)
 
 
 @register()

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import strings
 from millrace.operators.backends import Backend, HashBackend, column_call
 from millrace.operators.base import Operator, register
+from millrace.plans.scratch import materialize
 
 
 @register("InfinityApiEmbedder", "LiteLLMEmbedding")
@@ -31,6 +37,26 @@ def build_index(df: DataFrame, path: str, *, id_col: str, text_col: str, vector_
     df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(vector_col).alias("embedding"), meta.alias("metadata")).write.mode(mode).parquet(path)
 
 
+def _nearest(a, b, k: int, threshold: float | None):
+    """The k nearest of b's vectors for each of a's; a and b are pandas tables (qid, qv) and (xid, xv)."""
+    def unit(v):
+        m = np.stack(v.to_numpy()).astype(float)
+        n = np.linalg.norm(m, axis=1)
+        return m / np.where(n > 0, n, np.nan)[:, None]
+
+    if not len(a) or not len(b):
+        return pd.DataFrame({"qid": [], "xid": [], "score": []})
+    b = b.sort_values("xid", kind="stable")
+    s = np.round(unit(a["qv"]) @ unit(b["xv"]).T, 9)
+    s = np.where(np.isnan(s), -np.inf, s)
+    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    i, j = np.repeat(np.arange(len(a)), best.shape[1]), best.ravel()
+    ok = s[i, j] > -np.inf
+    if threshold is not None:
+        ok &= s[i, j] >= threshold
+    return pd.DataFrame({"qid": a["qid"].to_numpy()[i[ok]], "xid": b["xid"].to_numpy()[j[ok]], "score": s[i, j][ok]})
+
+
 def top_k(queries: DataFrame, index: DataFrame, *, query_id: str, query_vec: str, index_id: str, index_vec: str, k: int, threshold: float | None = None, block_rows: int = 8192) -> DataFrame:
     """(query_id, index_id, score, rank) of the k nearest by cosine, ties by index id; ranks from 0; exact.
 
@@ -38,9 +64,6 @@ def top_k(queries: DataFrame, index: DataFrame, *, query_id: str, query_vec: str
     and keeps its k best, so k rows per query and index block are shuffled, not all pairs. Null and zero vectors
     match nothing.
     """
-    import numpy as np
-    import pandas as pd
-
     q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("qv")).where("qv IS NOT NULL")
     x = index.select(F.col(index_id).alias("xid"), F.col(index_vec).alias("xv")).where("xv IS NOT NULL")
     nq, nx = (max(1, -(-d.count() // block_rows)) for d in (q, x))
@@ -48,42 +71,91 @@ def top_k(queries: DataFrame, index: DataFrame, *, query_id: str, query_vec: str
     x = x.withColumn("xb", F.pmod(F.xxhash64("xid"), F.lit(nx)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     qt, xt = q.schema["qid"].dataType.simpleString(), x.schema["xid"].dataType.simpleString()
 
-    def unit(v):
-        m = np.stack(v.to_numpy()).astype(float)
-        n = np.linalg.norm(m, axis=1)
-        return m / np.where(n > 0, n, np.nan)[:, None]
-
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"qid": [], "xid": [], "score": []})
-        b = b.sort_values("xid", kind="stable")
-        s = np.round(unit(a["qv"]) @ unit(b["xv"]).T, 9)
-        s = np.where(np.isnan(s), -np.inf, s)
-        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        i, j = np.repeat(np.arange(len(a)), best.shape[1]), best.ravel()
-        ok = s[i, j] > -np.inf
-        if threshold is not None:
-            ok &= s[i, j] >= threshold
-        return pd.DataFrame({"qid": a["qid"].to_numpy()[i[ok]], "xid": b["xid"].to_numpy()[j[ok]], "score": s[i, j][ok]})
+        return _nearest(a, b, k, threshold)
 
     got = q.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb")).applyInPandas(meet, f"qid {qt}, xid {xt}, score double")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "xid")
     return got.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).select(F.col("qid").alias(query_id), F.col("xid").alias(index_id), "score", "rank")
 
 
+def fit_cells(index: DataFrame, vec: str, index_id: str, n_cells: int, k_best: int, recall: float, sample_rows: int = 20_000, rounds: int = 10) -> tuple[np.ndarray, int]:
+    """Unit centres of `n_cells` cells by spherical k-means over at most `sample_rows` vectors, those of least hash of their id; and in how many of a query's nearest cells its k_best neighbours in the sample are found with the given recall, for 200 of the sample."""
+    rows = index.where(F.col(vec).isNotNull()).select(F.xxhash64(index_id).alias("h"), F.col(vec).alias("v")).orderBy("h").limit(sample_rows).toPandas()
+    if not len(rows):
+        return np.zeros((0, 0)), 1
+    x = np.stack(rows["v"].to_numpy()).astype(float)
+    x = x[np.linalg.norm(x, axis=1) > 0]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    c = x[:n_cells].copy()
+    for _ in range(rounds):
+        at = (x @ c.T).argmax(1)
+        for k in range(len(c)):
+            if (on := at == k).any():
+                m = x[on].sum(0)
+                c[k] = m / max(np.linalg.norm(m), 1e-12)
+    q = x[-200:]
+    near = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, : k_best + 1]  # itself too, which is in the nearest cell
+    order = np.argsort(np.argsort(-(q @ c.T), axis=1, kind="stable"), axis=1, kind="stable")
+    at = np.take_along_axis(order, (x @ c.T).argmax(1)[near], axis=1)[:, 1:]
+    return c, int(np.quantile(at, recall)) + 1 if at.size else len(c)
+
+
+def top_k_cells(queries: DataFrame, index: DataFrame, *, query_id: str, query_vec: str, index_id: str, index_vec: str, k: int, threshold: float | None = None, n_cells: int | None = None, probes: int | None = None, recall: float = 0.95, block_rows: int = 8192) -> DataFrame:
+    """As top_k, but approximate: each query is compared with the entries of its `probes` nearest cells only (fit_cells).
+
+    Default: as many cells as the root of the number of entries, and as many probes as give `recall` on a sample. The
+    cells are fitted on the sample too, but every entry is in the cell of the nearest centre; a cell of more than
+    `block_rows` entries is dealt out by the entries' hash, so a frequent cell doesn't come together in one task. Scores
+    and ties are those of top_k.
+    """
+    n = index.count()
+    centres, enough = fit_cells(index, index_vec, index_id, n_cells or max(1, int(n**0.5)), k, recall)
+    most = max(1, min(len(centres), probes or enough))
+
+    def nearest(m: int):
+        @F.arrow_udf("array<int>")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for b in batches:
+                x = np.array(b.to_pylist(), float).reshape(len(b), -1)
+                at = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :m] if len(centres) else np.zeros((len(b), 0))
+                yield pa.array(at.tolist(), pa.list_(pa.int32()))
+
+        return run
+
+    x = index.select(F.col(index_id).alias("xid"), F.col(index_vec).alias("xv")).where("xv IS NOT NULL")
+    x = materialize(x.withColumn("cell", F.element_at(nearest(1)("xv"), 1)), "cells")
+    parts = x.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+    x = x.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("xid"), F.col("parts")).cast("int")).drop("parts")
+    q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("qv")).where("qv IS NOT NULL").withColumn("cell", F.explode(nearest(most)("qv")))
+    q = q.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    q = q.withColumn("turn", F.pmod(F.xxhash64("qid"), F.lit(16)).cast("int"))
+    x = x.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    qt, xt = q.schema["qid"].dataType.simpleString(), x.schema["xid"].dataType.simpleString()
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return _nearest(a, b, k, threshold)
+
+    got = q.groupBy("cell", "part", "turn").cogroup(x.groupBy("cell", "part", "turn")).applyInPandas(meet, f"qid {qt}, xid {xt}, score double")
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "xid")
+    return got.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).select(F.col("qid").alias(query_id), F.col("xid").alias(index_id), "score", "rank")
+
+
 @register("QdrantApiRetriever")
 class Retriever(Operator):
     """The nearest entries of an index (a path that build_index wrote, or a table) for each row's vector: ranks
-    topk_range[0] up to topk_range[1], from similarity_threshold on, appended to `output_col`'s list without repeats of an id."""
+    topk_range[0] up to topk_range[1], from similarity_threshold on, appended to `output_col`'s list without repeats of an id. `use_ann` searches by top_k_cells."""
 
-    def setup(self, index, query_id: str = "hash_id", vector_col: str = "_embeddings", topk_range=(0, 5), similarity_threshold: float = 0.5, output_col: str = "retrieved", exact_dedup: bool = True, embedder: Embedder | None = None):
+    def setup(self, index, query_id: str = "hash_id", vector_col: str = "_embeddings", topk_range=(0, 5), similarity_threshold: float = 0.5, output_col: str = "retrieved", exact_dedup: bool = True, embedder: Embedder | None = None, use_ann: bool = False):
+        self.ann = use_ann
         self.index, self.id, self.vec, self.range, self.threshold, self.out, self.dedup, self.embedder = index, query_id, vector_col, tuple(topk_range), similarity_threshold, output_col, exact_dedup, embedder
 
     def apply(self, df: DataFrame) -> DataFrame:
+        # vectors are written before they are counted, compared and joined, so that no text is embedded twice
         if self.embedder is not None and self.vec not in df.columns:
-            df = self.embedder.embed(df, F.expr(self.embedder.query), self.vec)
-        index = df.sparkSession.read.parquet(self.index) if isinstance(self.index, str) else self.index
-        near = top_k(df, index, query_id=self.id, query_vec=self.vec, index_id="id", index_vec="embedding", k=self.range[1], threshold=self.threshold)
+            df = materialize(self.embedder.embed(df, F.expr(self.embedder.query), self.vec), "embedded")
+        index = df.sparkSession.read.parquet(self.index) if isinstance(self.index, str) else materialize(self.index, "index")
+        near = (top_k_cells if self.ann else top_k)(df, index, query_id=self.id, query_vec=self.vec, index_id="id", index_vec="embedding", k=self.range[1], threshold=self.threshold)
         near = near.where(F.col("rank") >= self.range[0]).withColumnRenamed("id", "_xid").withColumnRenamed(self.id, "_qid")
         full = near.join(index, near["_xid"] == index["id"]).groupBy("_qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "text", "score", "metadata"))).alias("_got"))
         out = df.join(full, df[self.id] == full["_qid"], "left")

@@ -26,10 +26,14 @@ def scratch_root(spark: SparkSession) -> str:
     return _own[app]
 
 
+def _folder(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/millrace/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write `df` as Parquet under the scratch root and read it back: later actions survive lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     w = df.write.mode("error")
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -46,8 +50,8 @@ def discard(df: DataFrame | None) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
-def stable_rows(df: DataFrame, name: str) -> DataFrame:
-    """`df` itself if it is a plain scan (its rows come in the same order each time), else a written copy."""
-    plan = df._jdf.queryExecution().optimizedPlan().treeString()
-    nodes = {line.lstrip(" :+-").split(" ")[0].split("[")[0] for line in plan.splitlines() if line.strip()}
-    return df if nodes <= {"Relation", "Project", "Filter", "LocalRelation"} and "rand(" not in plan else materialize(df, name)
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application. Call it when no result that was made from them will be read again."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    p.getFileSystem(conf).delete(p, True)

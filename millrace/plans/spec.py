@@ -15,8 +15,17 @@ KEYS = ("import_path", "lambda_func", "cfg_path")
 
 @dataclass
 class AsyncOptions:
-    concurrency: int = 100
-    batch_size: int = 1000
+    concurrency: int | None = None
+    batch_size: int | None = None
+    show_progress: bool | None = True
+
+
+@dataclass
+class ProcessOptions:
+    """num_proc: the number of tasks that rows are dealt to before the step."""
+
+    num_proc: int | None = None
+    show_progress: bool | None = None
 
 
 @dataclass
@@ -46,15 +55,19 @@ class Spec:
         if not raw.get("import_path") and not raw.get("lambda_func"):
             raise ValueError("import_path, lambda_func or cfg_path is needed")
         AsyncOptions(**(raw.get("async_cfg") or {}))
+        ProcessOptions(**(raw.get("mp_cfg") or {}))
         return cls(raw.get("import_path"), nest(raw.get("init_kwargs") or {}), raw.get("lambda_func"), None, raw.get("async_cfg"), raw.get("mp_cfg"), raw)
 
     @classmethod
     def load(cls, path: str) -> Spec:
         return cls.parse(load_yaml(path))
 
+    def dump(self) -> str:
+        return yaml.safe_dump(self.original, allow_unicode=True, sort_keys=False)
+
     def save(self, path: str) -> None:
         with open(path, "w", encoding="utf-8") as f:
-            yaml.safe_dump(self.original, f, allow_unicode=True, sort_keys=False)
+            f.write(self.dump())
 
     def build(self):
         """The component, its nested ones built first."""
@@ -64,7 +77,11 @@ class Spec:
             return Expression(expr=self.lambda_func)
         made = resolve(self.import_path)(**build(self.init_kwargs))
         if self.async_cfg and hasattr(made, "backend"):
-            made.backend.concurrency = AsyncOptions(**self.async_cfg).concurrency
+            options = AsyncOptions(**self.async_cfg)
+            made.backend.concurrency = options.concurrency or made.backend.concurrency
+            made.backend.batch_size = options.batch_size or made.backend.batch_size
+        if self.mp_cfg and (n := ProcessOptions(**self.mp_cfg).num_proc):
+            made.num_tasks = n
         return made
 
 
