@@ -219,6 +219,19 @@ def test_greedy_keeps_what_a_scan_keeps(spark):
         assert sorted(r.id for r in dedup.greedy_keep(m).collect()) == scan(bands)
 
 
+@pytest.mark.parametrize("in_one_task", [200_000, 40])
+def test_a_long_chain_takes_few_rounds(spark, in_one_task, monkeypatch):
+    """Components beyond the limit go on in rounds, others end in one."""
+    n = 300 if in_one_task > 1000 else 12
+    bands = {i: {f"e{i}", f"e{i + 1}"} for i in range(n)} | {1000 + i: {f"x{i % 3}", "y"} for i in range(30)}
+    written = []
+    real = dedup.materialize
+    monkeypatch.setattr(dedup, "materialize", lambda df, name: (written.append(name), real(df, name))[1])
+    m = spark.createDataFrame([(i, b) for i, bs in bands.items() for b in bs], "id long, band string")
+    assert sorted(r.id for r in dedup.greedy_keep(m, in_one_task=in_one_task).collect()) == scan(bands)
+    assert written.count("groups") <= 4 + (in_one_task < 1000) * 8
+
+
 def test_texts_without_elements_collide(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b. c"), (3, "a sentence that is long enough"), (4, None)], "hash_id long, text string")
     assert sorted(r.hash_id for r in dedup.MinHashDedup().apply(df).collect()) == [1, 3]
