@@ -12,6 +12,8 @@ import numpy as np
 WORD = re.compile(r"\w+")
 _EDGE = re.compile(r"^\W+|\W+$")
 _LIMIT = 400_000
+#: Signs of scripts that are written without spaces: Thai, Lao, Burmese, Khmer, Han, Kana and their neighbours.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
 
 
 class Memo(dict):
@@ -42,7 +44,7 @@ def bucket(token: str, bits: int) -> int:
 
 
 class Words:
-    """Lower-cased words and their prefixes of 5, 6 and 7 letters, hashed into 2**bits buckets; 2**bits pads."""
+    """Lower-cased words and their prefixes of 5, 6 and 7 letters, hashed into 2**bits buckets; 2**bits pads. In scripts without spaces each sign is a word."""
 
     def __init__(self, bits: int = 18):
         self.bits, self.pad = bits, 1 << bits
@@ -57,7 +59,8 @@ class Words:
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Feature ids and values, 1 + log of the count over log2 of the number of words, so that one word among thousands still counts. Nothing for a text without words."""
-        words = (text or "").lower().split()
+        text = (text or "").lower()
+        words = (text if text.isascii() else _UNSPACED.sub(r" \1 ", text)).split()
         if not words:
             return np.zeros(0, np.int32), np.zeros(0, np.float32)
         c = Counter(words)
@@ -75,7 +78,7 @@ def shape(token: str) -> str:
 
 
 class Shapes:
-    """Tokens as written: their hashed text and shape, and how often a token follows itself or a line comes again."""
+    """Tokens as written, between white space: their hashed text and shape, and how often a token follows itself or a line comes again."""
 
     def __init__(self, bits: int = 18):
         self.bits, self.pad = bits, 1 << bits
@@ -123,7 +126,7 @@ def _flags(w: str):
 
 
 class TextStats:
-    """Counts over a whole text, by whitespace-separated words; all 0 for a null or empty text."""
+    """Counts over a whole text, by whitespace-separated words (so a text in a script without spaces is one); all 0 for a null or empty text."""
 
     def __init__(self):
         self.memo = Memo(_flags, 8, np.int64)

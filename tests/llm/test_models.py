@@ -272,6 +272,12 @@ def test_quality_of_awkward_rows(spark):
     assert quality.score(documents(spark), none).count() == 0 and quality.score(docs, none).count() == docs.count()
 
 
+def test_signs_of_scripts_without_spaces_are_words():
+    ids, val = Words(18)("你好，世界 ok")
+    assert len(set(ids.tolist()) - {1 << 18}) == 5 and len(val) == 4 * 6  # the comma by itself is no word
+    assert np.array_equal(Words(18)("Ünïcode wörds")[0], Words(18)("ünïcode  wörds")[0])
+
+
 def test_sparse_selection_finds_the_columns_that_tell():
     r = np.random.default_rng(0)
     y = (r.random(300) < 0.5).astype(float)
