@@ -15,17 +15,19 @@ KEYS = ("import_path", "lambda_func", "cfg_path")
 
 @dataclass
 class AsyncOptions:
-    concurrency: int | None = None
-    batch_size: int | None = None
-    show_progress: bool | None = True
+    """How many calls run at once and how many are begun together; 0 or null leaves the backend's own numbers. Progress is Spark's to show."""
+
+    batch_size: int = 0
+    concurrency: int = 0
+    show_progress: Any = None
 
 
 @dataclass
 class ProcessOptions:
-    """num_proc: the number of tasks that rows are dealt to before the step."""
+    """num_proc: the number of tasks that rows are dealt to before the step; 0 or null leaves them as they are."""
 
-    num_proc: int | None = None
-    show_progress: bool | None = None
+    num_proc: int = 0
+    show_progress: Any = None
 
 
 @dataclass
