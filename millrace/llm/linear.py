@@ -31,30 +31,44 @@ def featured(rows: DataFrame, f: Callable[[], Callable], extra: dict[str, str],
     """
     schema = "h long, fold long, idx binary, val binary" + "".join(f", `{c}` {t}" for c, t in extra.items())
 
-    def run(batches):
-        g, kept = f(), {}
-        worst = None
-        for b in batches:
-            c = {k: b.column(k).to_pylist() for k in ("_h", "_text", *extra)}
-            for i, h in enumerate(c["_h"]):
-                more = tuple(c[k][i] for k in extra)
-                if h in kept:
-                    kept[h] = (*kept[h][:3], *(max(x, y) for x, y in zip(kept[h][3:], more)))
-                elif len(kept) < n or h < worst:
-                    t = c["_text"][i]
-                    kept[h] = (zlib.crc32((t or "").encode("utf-8", "surrogatepass")), *packed(*g(t), size), *more)
-                    if len(kept) > n:
-                        del kept[worst]
-                        worst = max(kept)
-                    elif len(kept) == n:
-                        worst = max(kept)
+    names = ("fold", "idx", "val", *extra)
+
+    def least(rows):
+        """Of (h, extra, function for the rest) the n least h, each once."""
+        kept, worst = {}, None
+        for h, more, made in rows:
+            if h in kept:
+                kept[h] = (*kept[h][:3], *map(max, kept[h][3:], more))
+            elif len(kept) < n or h < worst:
+                kept[h] = (*made(), *more)
+                if len(kept) > n:
+                    del kept[worst]
+                if len(kept) == n:
+                    worst = max(kept)
         keys = sorted(kept)
         cols = [pa.array(keys, pa.int64()), *(pa.array([kept[h][k] for h in keys], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary(), *([pa.float64()] * len(extra)))))]
-        yield pa.RecordBatch.from_arrays(cols, ["h", "fold", "idx", "val", *extra])
+        return pa.RecordBatch.from_arrays(cols, ["h", *names])
+
+    def read(batches):
+        g = f()
+        for b in batches:
+            more = [b.column(k).to_pylist() for k in extra]
+            for h, t, *x in zip(b.column("_h").to_pylist(), b.column("_text").to_pylist(), *more):
+                yield h, x, lambda t=t: (zlib.crc32((t or "").encode("utf-8", "surrogatepass")), *packed(*g(t), size))
+
+    def again(batches):
+        for b in batches:
+            for h, fold, idx, val, *x in zip(*(b.column(k) for k in ("h", *names))):
+                yield h.as_py(), [v.as_py() for v in x], lambda fold=fold, idx=idx, val=val: (fold.as_py(), idx.as_py(), val.as_py())
+
+    def first(batches):
+        yield least(read(batches))
+
+    def last(batches):
+        yield least(again(batches))
 
-    got = rows.select(F.xxhash64("_key", "_text").alias("_h"), "_text", *[F.col(c).cast("double").alias(c) for c in extra]).mapInArrow(run, schema)
-    one = got.groupBy("h").agg(*[F.first(c).alias(c) for c in ("fold", "idx", "val")], *[F.max(c).alias(c) for c in extra])
-    return one.orderBy("h").limit(n).toArrow().sort_by("h")
+    got = rows.select(F.xxhash64("_key", "_text").alias("_h"), "_text", *[F.col(c).cast("double").alias(c) for c in extra]).mapInArrow(first, schema)
+    return got.repartition("h").mapInArrow(last, schema).orderBy("h").limit(n).toArrow()
 
 
 def packed(ids: np.ndarray, val: np.ndarray, size: int) -> tuple[bytes, bytes]:
@@ -111,7 +125,8 @@ class Sparse:
         x = np.zeros((self.n, len(best)), np.float32)
         x[self.rows[hit], at[self.j[hit]]] = self.v[hit]
         scale = np.sqrt((x[on > 0] ** 2).mean(0) if on.any() else np.ones(len(best))) + 1e-6
-        return Columns(best, x / scale.astype(np.float32), scale)
+        x /= scale.astype(np.float32)
+        return Columns(best, x, scale)
 
 
 def fit(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 100) -> tuple[np.ndarray, float]:

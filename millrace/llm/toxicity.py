@@ -87,12 +87,14 @@ def fit_chain(idx: list[bytes], val: list[bytes], labels: dict[str, np.ndarray],
     """The chain on rows of hashed features (see linear.packed); labels by category, those of the last one at least; fold: the part that a row is held out with."""
     n, k, last = len(idx), len(categories), categories[-1]
     data = linear.Sparse(idx, val, bits)
+    del idx, val
     labels = dict(labels)
     if unlabelled := [c for c in categories if c not in labels]:
         bad = labels[last] > 0.5
         cols = data.select(labels[last], top)
         seen = cols.x > 0
         tells = seen[bad].mean(0) > seen[~bad].mean(0) if bad.any() and not bad.all() else np.zeros(seen.shape[1], bool)
+        del cols
         kind = np.full(n, -1)
         kind[bad] = kinds(seen[bad][:, tells].astype(float), len(unlabelled))
         labels |= {c: (kind == i).astype(float) for i, c in enumerate(unlabelled)}
@@ -101,10 +103,10 @@ def fit_chain(idx: list[bytes], val: list[bytes], labels: dict[str, np.ndarray],
     for c, name in enumerate(categories):
         y = labels[name]
         cols = data.select(y, top)
-        scale = np.sqrt((earlier**2).mean(0)) + 1e-6  # as the other features
+        scale = (np.sqrt((earlier**2).mean(0)) + 1e-6).astype(np.float32)  # as the other features
         before = earlier / scale
         w, bias[c] = linear.fit(np.hstack([cols.x, before]), y, l2)
-        d = cols.x.shape[1]
+        d, cols.x = cols.x.shape[1], None  # one matrix at a time: this runs in the driver
         table[:, c], link[:c, c] = linear.expand(cols, w[:d], bits), w[d:] / scale
         p = np.full(n, linear.sigmoid(bias[c]), np.float32)
         for f in np.unique(fold):
@@ -112,7 +114,7 @@ def fit_chain(idx: list[bytes], val: list[bytes], labels: dict[str, np.ndarray],
             if not held.all():
                 # the buckets are chosen anew without the held-out rows, else their labels would leak
                 own = data.select(y, top, ~held)
-                x = np.hstack([own.x, before])
+                x, own = np.hstack([own.x, before]), None
                 w, b = linear.fit(x[~held], y[~held], l2)
                 p[held] = linear.sigmoid(x[held] @ w + b)
         earlier = np.hstack([earlier, p[:, None]])
@@ -143,9 +145,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CHAIN, *, text: str = "te
         k = len(categories)
         return ChainModel(tuple(categories), np.zeros(((1 << bits) + 1, k), np.float32), np.full(k, -30.0), np.zeros((k, k)), bits, 0.5)
     y = {c[3:]: got[c].to_numpy() for c in got.column_names if c.startswith("_y_")}
-    idx, val, fold = got["idx"].to_pylist(), got["val"].to_pylist(), got["fold"].to_numpy() % folds
+    packed, fold = [got["idx"].to_pylist(), got["val"].to_pylist()], got["fold"].to_numpy() % folds
     del got
-    return fit_chain(idx, val, y, fold, categories, bits, top, l2)
+    return fit_chain(packed.pop(0), packed.pop(), y, fold, categories, bits, top, l2)
 
 
 def scorer(model: ChainModel):
