@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import strings
+from millrace.functions.vectors import first_copies, k_best, unit_rows
 from millrace.operators.backends import Backend, HashBackend, column_call
 from millrace.operators.base import Operator, register
 from millrace.plans.scratch import materialize
@@ -37,44 +37,42 @@ def build_index(df: DataFrame, path: str, *, id_col: str, text_col: str, vector_
     df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(vector_col).alias("embedding"), meta.alias("metadata")).write.mode(mode).parquet(path)
 
 
-def _nearest(a, b, k: int, threshold: float | None):
-    """The k nearest of b's vectors for each of a's; a and b are pandas tables (qid, qv) and (xid, xv)."""
-    def unit(v):
-        m = np.stack(v.to_numpy()).astype(float)
-        n = np.linalg.norm(m, axis=1)
-        return m / np.where(n > 0, n, np.nan)[:, None]
+def _nearest(k: int, threshold: float | None):
+    """A function of Arrow tables (qid, qv) and (xid, xv): the k nearest of the second one's vectors for each of the first one's, ties by xid."""
 
-    if not len(a) or not len(b):
-        return pd.DataFrame({"qid": [], "xid": [], "score": []})
-    b = b.sort_values("xid", kind="stable")
-    s = np.round(unit(a["qv"]) @ unit(b["xv"]).T, 9)
-    s = np.where(np.isnan(s), -np.inf, s)
-    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-    i, j = np.repeat(np.arange(len(a)), best.shape[1]), best.ravel()
-    ok = s[i, j] > -np.inf
-    if threshold is not None:
-        ok &= s[i, j] >= threshold
-    return pd.DataFrame({"qid": a["qid"].to_numpy()[i[ok]], "xid": b["xid"].to_numpy()[j[ok]], "score": s[i, j][ok]})
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        b = b.sort_by("xid")
+        u, x = unit_rows(a["qv"]), unit_rows(b["xv"])
+        on, there = (np.flatnonzero(np.isfinite(m).all(1) & (m.shape[1] > 0)) for m in (u, x))
+        if len(on) and len(there):
+            there = there[first_copies(x[there], k)]
+            i, j, score = k_best(u[on], x[there], k, -np.inf if threshold is None else threshold)
+        else:
+            i, j, score = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        return pa.table({"qid": a["qid"].take(pa.array(on[i])), "xid": b["xid"].take(pa.array(there[j])), "score": score})
+
+    return meet
 
 
-def top_k(queries: DataFrame, index: DataFrame, *, query_id: str, query_vec: str, index_id: str, index_vec: str, k: int, threshold: float | None = None, block_rows: int = 8192) -> DataFrame:
+def top_k(queries: DataFrame, index: DataFrame, *, query_id: str, query_vec: str, index_id: str, index_vec: str, k: int, threshold: float | None = None, block_rows: int | None = None) -> DataFrame:
     """(query_id, index_id, score, rank) of the k nearest by cosine, ties by index id; ranks from 0; exact.
 
-    Queries are dealt to as many blocks as their number asks for; each block meets each block of the index in numpy
-    and keeps its k best, so k rows per query and index block are shuffled, not all pairs. Null and zero vectors
-    match nothing.
+    Queries and index are dealt to blocks of `block_rows`, by default of as many as hold 2^22 numbers, and to more where
+    that leaves cores idle. Each block meets each block of the index in numpy and keeps its k best, so k rows per query
+    and index block are shuffled, not all pairs. All pairs are multiplied: the time is that of their number. Null and
+    zero vectors match nothing.
     """
     q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("qv")).where("qv IS NOT NULL")
     x = index.select(F.col(index_id).alias("xid"), F.col(index_vec).alias("xv")).where("xv IS NOT NULL")
-    nq, nx = (max(1, -(-d.count() // block_rows)) for d in (q, x))
+    (rows_q, dims), (rows_x, _) = (d.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(v)), F.lit(1))).first() for d, v in ((q, "qv"), (x, "xv")))
+    most = block_rows or max(1024, (1 << 22) // max(1, dims))
+    nq, nx = (max(1, -(-n // most)) for n in (rows_q, rows_x))
+    while nq * nx < min(3 * q.sparkSession.sparkContext.defaultParallelism, rows_q * rows_x >> 24):
+        nq, nx = (nq + 1, nx) if rows_q / nq >= rows_x / nx else (nq, nx + 1)
     q = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int")).withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(nx - 1))))
     x = x.withColumn("xb", F.pmod(F.xxhash64("xid"), F.lit(nx)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     qt, xt = q.schema["qid"].dataType.simpleString(), x.schema["xid"].dataType.simpleString()
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _nearest(a, b, k, threshold)
-
-    got = q.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb")).applyInPandas(meet, f"qid {qt}, xid {xt}, score double")
+    got = q.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb")).applyInArrow(_nearest(k, threshold), f"qid {qt}, xid {xt}, score double")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "xid")
     return got.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).select(F.col("qid").alias(query_id), F.col("xid").alias(index_id), "score", "rank")
 
@@ -132,11 +130,7 @@ def top_k_cells(queries: DataFrame, index: DataFrame, *, query_id: str, query_ve
     q = q.withColumn("turn", F.pmod(F.xxhash64("qid"), F.lit(16)).cast("int"))
     x = x.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(15))))
     qt, xt = q.schema["qid"].dataType.simpleString(), x.schema["xid"].dataType.simpleString()
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _nearest(a, b, k, threshold)
-
-    got = q.groupBy("cell", "part", "turn").cogroup(x.groupBy("cell", "part", "turn")).applyInPandas(meet, f"qid {qt}, xid {xt}, score double")
+    got = q.groupBy("cell", "part", "turn").cogroup(x.groupBy("cell", "part", "turn")).applyInArrow(_nearest(k, threshold), f"qid {qt}, xid {xt}, score double")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "xid")
     return got.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < k).select(F.col("qid").alias(query_id), F.col("xid").alias(index_id), "score", "rank")
 
