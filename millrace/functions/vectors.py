@@ -11,8 +11,8 @@ import pyarrow as pa
 TILE = (512, 8192)
 
 
-def unit_rows(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """A row of length one for each vector; NaN where it is zero or has a null. Vectors must have one number of dimensions."""
+def unit_rows(vectors: pa.ChunkedArray | pa.Array, for_zero: float = np.nan) -> np.ndarray:
+    """A row of length one for each vector; NaN where it has a null, `for_zero` throughout where it is zero. Vectors must have one number of dimensions."""
     v = pa.concat_arrays(vectors.chunks) if isinstance(vectors, pa.ChunkedArray) and vectors.num_chunks else vectors
     if not len(v):
         return np.zeros((0, 0))
@@ -21,7 +21,7 @@ def unit_rows(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
         raise ValueError("vectors differ in their number of dimensions")
     m = v.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), sizes[0])
     n = np.linalg.norm(m, axis=1)
-    m /= np.where(n > 0, n, np.nan)[:, None]
+    m /= np.where(n > 0, n, np.nan if np.isnan(for_zero) else 1)[:, None]
     return m
 
 
@@ -50,6 +50,42 @@ def pairs_from(a: np.ndarray, b: np.ndarray, least: float) -> Iterator[tuple[np.
             yield p + i[ok], q + j[ok]
 
 
+def near_any(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """For each unit row of a whether its product with one of b's is at least `least`; decided as in pairs_from."""
+    b32, off, near = b.astype(np.float32), slack(a.shape[1]), np.zeros(len(a), bool)
+    for p in range(0, len(a), TILE[0]):
+        open_, u = np.arange(p, min(p + TILE[0], len(a))), a[p : p + TILE[0]].astype(np.float32)
+        for q in range(0, len(b), TILE[1]):
+            s = u @ b32[q : q + TILE[1]].T
+            top = s.max(1)
+            on = top >= np.float32(least + off)
+            unsure = np.flatnonzero(~on & (top >= np.float32(least - off)))
+            if len(unsure):
+                i, j = np.nonzero(s[unsure] >= np.float32(least - off))
+                on[unsure[i[dots(a, b, open_[unsure[i]], q + j) >= least]]] = True
+            near[open_[on]] = True
+            open_, u = open_[~on], u[~on]
+            if not len(u):
+                break
+    return near
+
+
+def first_apart(x: np.ndarray, least: float) -> np.ndarray:
+    """The unit rows that a scan keeps which drops each whose product with one kept before is at least `least`."""
+    kept, n, rows = np.empty_like(x), 0, []
+    for p in range(0, len(x), TILE[0]):
+        on = p + np.flatnonzero(~near_any(x[p : p + TILE[0]], kept[:n], least))
+        u = x[on]
+        near, dropped = u @ u.T >= least, np.zeros(len(u), bool)
+        for i in range(len(u)):
+            if not dropped[i]:
+                dropped[i + 1 :] |= near[i, i + 1 :]
+        on = on[~dropped]
+        kept[n : n + len(on)], n = x[on], n + len(on)
+        rows.append(on)
+    return np.concatenate(rows) if rows else np.zeros(0, int)
+
+
 def first_copies(x: np.ndarray, k: int) -> np.ndarray:
     """The rows of x, in order, that fewer than k equal ones stand before."""
     x = np.ascontiguousarray(x)

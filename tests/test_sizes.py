@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from millrace.functions import vectors
-from millrace.operators import vector
+from millrace.operators import dedup, vector
 
 
 def peak_mb(f):
@@ -58,3 +58,38 @@ def test_a_search_of_more_vectors_makes_fewer_copies_of_them(spark):
     plan = vector.top_k(e, e.withColumnRenamed("q", "x"), query_id="q", query_vec="v", index_id="x", index_vec="v", k=1)._jdf.queryExecution().analyzed().toString()
     copies = [int(n) for n in re.findall(r"sequence\(0, (\d+)", plan)]
     assert copies and max(copies) + 1 <= 12
+
+
+@pytest.mark.parametrize("block_rows", [4096, 5])
+def test_semantic_dedup_is_a_scan_and_writes_no_pairs(spark, monkeypatch, block_rows):
+    """Of 600 rows in 6 places there are some 30,000 pairs; only rows are written."""
+    r = np.random.default_rng(3)
+    v = r.standard_normal((6, 12))[r.integers(0, 6, 600)] + 0.35 * r.standard_normal((600, 12))
+    s, kept = unit(v) @ unit(v).T, []
+    for i in range(len(v)):
+        if not any(s[i, k] >= 0.85 for k in kept):
+            kept.append(i)
+    written = []
+    real = dedup.materialize
+    monkeypatch.setattr(dedup, "materialize", lambda df, name: (written.append(name), real(df, name))[1])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(700, None), (701, [0.0] * 12)], "id long, v array<float>")
+    got = dedup.SemanticDedup(threshold=0.85, embedding_col="v", order_by="id", block_rows=block_rows).apply(df)
+    assert sorted(x.id for x in got.collect()) == [*kept, 700, 701]
+    assert "pairs" not in written
+
+
+def test_semantic_dedup_counts_rows_of_one_id_as_one(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 1.0]), (3, [1.0, 1.0]), (4, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    assert sorted(x.id for x in dedup.SemanticDedup(embedding_col="v", order_by="id").apply(df).collect()) == [1, 1, 2, 4]
+
+
+def test_what_is_near_is_found_in_little_memory():
+    r = np.random.default_rng(4)
+    x = unit(r.standard_normal((6000, 16)))
+    want = x @ x.T >= 0.8
+    pairs, mb = peak_mb(lambda: [np.concatenate(c) for c in zip(*vectors.pairs_from(x, x, 0.8))])
+    assert {*zip(*pairs)} == {*zip(*np.nonzero(want))} and mb < 70  # all products take 288
+    near, mb = peak_mb(lambda: vectors.near_any(x[:3000], x[3000:], 0.8))
+    assert (near == want[:3000, 3000:].any(1)).all() and mb < 70
+    assert vectors.near_any(x, np.zeros((0, 0)), 0.8).sum() == 0
