@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import strings, templates
-from millrace.operators.backends import Backend, HashBackend, gather
+from millrace.functions.batches import pieces
+from millrace.operators.backends import AT_ONCE, Backend, HashBackend, gather
 from millrace.operators.base import Operator, register
 from millrace.operators.text import SEPARATORS, Tokenizer, recursive_split
 
@@ -69,7 +70,7 @@ def ask(backend: Backend, retries: int = 3, fields: tuple[str, ...] = (), **kw):
 
     @F.arrow_udf("struct<content: string, error: string>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for b in batches:
+        for b in pieces(batches, AT_ONCE, backend.batch_size):
             got = gather([one(t) for t in b.to_pylist()], backend.concurrency, backend.batch_size)
             yield pa.StructArray.from_arrays([pa.array([g[k] for g in got], pa.string()) for k in (0, 1)], names=["content", "error"])
 
@@ -158,7 +159,7 @@ class Recipe(Operator):
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             msg = pa.list_(pa.struct([("role", pa.string()), ("content", pa.string())]))
             score = pa.list_(pa.map_(pa.string(), pa.struct([("reason", pa.string()), ("score", pa.float64())])))
-            for b in batches:
+            for b in pieces(batches, AT_ONCE, size):
                 got = gather([each(r) for r in b.to_pylist()], limit, size)
                 got = [None if isinstance(g, BaseException) or g is None else g for g in got]
                 none = pa.array([g is None for g in got])

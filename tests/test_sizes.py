@@ -1,5 +1,6 @@
 """Steps whose memory or time must not grow faster than their input."""
 
+import json
 import re
 import tracemalloc
 
@@ -7,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from millrace.functions import vectors
-from millrace.operators import dedup, vector
+from millrace.functions import batches, vectors
+from millrace.operators import backends, dedup, vector
 
 
 def peak_mb(f):
@@ -93,3 +94,29 @@ def test_what_is_near_is_found_in_little_memory():
     near, mb = peak_mb(lambda: vectors.near_any(x[:3000], x[3000:], 0.8))
     assert (near == want[:3000, 3000:].any(1)).all() and mb < 70
     assert vectors.near_any(x, np.zeros((0, 0)), 0.8).sum() == 0
+
+
+def test_batches_are_cut_by_bytes_and_rows():
+    a = pa.array(["x" * 10] * 25 + [None, "y" * 500, "z"])
+    for most, rows in ((100, None), (1 << 20, 4), (1 << 20, None), (1, None)):
+        got = list(batches.pieces([a, a.slice(3, 0), (a, a)], most, rows))
+        assert [x for b in got if isinstance(b, pa.Array) for x in b.to_pylist()] == a.to_pylist()
+        assert [x for b in got if isinstance(b, tuple) for x in b[1].to_pylist()] == a.to_pylist()
+        assert all(len(b) <= (rows or 99) for b in got if isinstance(b, pa.Array))
+        assert all(len("".join(filter(None, b.to_pylist()))) < most + 500 for b in got if isinstance(b, pa.Array))
+    whole = pa.RecordBatch.from_pydict({"a": a})
+    assert pa.Table.from_batches(list(batches.pieces([whole], 64))).to_pydict() == whole.to_pydict()
+
+
+def texts(n=12_000):
+    """A batch of some 36 MB."""
+    return pa.array([f"{i} " + ("w" * 600 + " ") * 5 for i in range(n)])
+
+
+@pytest.mark.parametrize("what, kind", [("embed", "array<float>"), ("score", "double")])
+def test_questions_are_put_in_pieces(spark, what, kind):
+    t = texts()
+    if what == "score":
+        t = pa.array([json.dumps([{"role": "user", "content": x}]) for x in t.to_pylist()])
+    n, mb = peak_mb(lambda: sum(len(b) for b in backends.column_call(backends.HashBackend(), what, kind).func(iter([t]))))
+    assert n == len(t) and mb < 25
