@@ -74,6 +74,7 @@ class RowOperator(Operator):
 
     def apply(self, df: DataFrame) -> DataFrame:
         import pyarrow as pa
+        from millrace.functions.batches import pieces
         from pyspark.sql.pandas.types import to_arrow_schema
         from pyspark.sql.types import StructType
 
@@ -81,7 +82,7 @@ class RowOperator(Operator):
         arrow, each = to_arrow_schema(schema), self.run_each
 
         def run(batches):
-            for b in batches:
+            for b in pieces(batches):
                 out = []
                 for row in b.to_pylist():
                     got = each(row)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import strings
+from millrace.functions.batches import pieces
 from millrace.functions.draws import pick, uniform
 from millrace.operators.base import Operator, register
 
@@ -51,11 +52,11 @@ class Tokenizer:
 
 
 def map_text(f: Callable[[str], object], kind: str):
-    """A column function that applies f to every non-null text, in Arrow batches."""
+    """A column function that applies f to every non-null text, in pieces of Arrow batches."""
 
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for b in batches:
+        for b in pieces(batches):
             yield pa.array([None if t is None else f(t) for t in b.to_pylist()], _ARROW[kind])
 
     return run

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from millrace.functions import batches, vectors
-from millrace.operators import backends, dedup, vector
+from millrace.operators import backends, dedup, text, vector
 
 
 def peak_mb(f):
@@ -120,3 +120,9 @@ def test_questions_are_put_in_pieces(spark, what, kind):
         t = pa.array([json.dumps([{"role": "user", "content": x}]) for x in t.to_pylist()])
     n, mb = peak_mb(lambda: sum(len(b) for b in backends.column_call(backends.HashBackend(), what, kind).func(iter([t]))))
     assert n == len(t) and mb < 25
+
+
+def test_texts_are_mapped_in_pieces(spark):
+    t = texts()
+    n, mb = peak_mb(lambda: sum(len(b) for b in text.map_text(lambda x: x.split(" "), "array<string>").func(iter([t]))))
+    assert n == len(t) and mb < 10
