@@ -140,7 +140,7 @@ class TextSplit(Operator):
 
         @F.arrow_udf("array<string>")
         def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-            for texts, sizes, overlaps in batches:
+            for texts, sizes, overlaps in pieces(batches):
                 yield pa.array([None if x is None else recursive_split(x, n, o, t.length, seps) for x, n, o in zip(texts.to_pylist(), sizes.to_pylist(), overlaps.to_pylist())], pa.list_(pa.string()))
 
         if len(self.sizes) > 1:

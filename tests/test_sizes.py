@@ -126,3 +126,13 @@ def test_texts_are_mapped_in_pieces(spark):
     t = texts()
     n, mb = peak_mb(lambda: sum(len(b) for b in text.map_text(lambda x: x.split(" "), "array<string>").func(iter([t]))))
     assert n == len(t) and mb < 10
+
+
+def test_texts_are_cut_in_pieces(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(text.F, "arrow_udf", lambda kind: lambda f: made.append(f) or (lambda *c: c[0]))
+    text.TextSplit(chunk_size=400, chunk_overlap=0).apply(spark.createDataFrame([("a", "b")], "text string, hash_id string"))
+    t = pa.array(["one. two. three. " * 60] * 4000)
+    one = pa.array([400] * len(t))
+    n, mb = peak_mb(lambda: sum(len(b) for b in made[0](iter([(t, one, pa.array([0] * len(t)))]))))
+    assert n == len(t) and mb < 6
