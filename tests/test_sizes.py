@@ -7,7 +7,9 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from millrace import catalog
 from millrace.functions import batches, vectors
 from millrace.operators import backends, dedup, text, vector
 
@@ -136,3 +138,16 @@ def test_texts_are_cut_in_pieces(spark, monkeypatch):
     one = pa.array([400] * len(t))
     n, mb = peak_mb(lambda: sum(len(b) for b in made[0](iter([(t, one, pa.array([0] * len(t)))]))))
     assert n == len(t) and mb < 6
+
+
+def test_no_sketch_is_made_for_every_key(spark, tmp_path):
+    """Also the same counts as by approx_count_distinct and countDistinct side by side, where flags or keys are null."""
+    rows = spark.range(5000).selectExpr("if(id % 50 = 0, null, cast(id % 3 as string)) l_returnflag", "if(id % 7 = 0, null, id * id % 1999) l_partkey")
+    rows = rows.unionAll(spark.sql("SELECT 'none', cast(null as long)"))
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.approx_distinct(spark, str(tmp_path))
+    g = rows.groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("a"), F.countDistinct("l_partkey").alias("n"))
+    want = g.select("l_returnflag", (F.abs(F.col("a") - F.col("n")) < 0.2 * F.col("n")).alias("near"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 5
+    keys = [line for line in got._jdf.queryExecution().sparkPlan().toString().split("\n") if "approx_count_distinct(" in line]
+    assert keys and not any(re.search(r"keys=\[[^\]]*l_partkey", line) for line in keys)
